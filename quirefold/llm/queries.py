@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import cooccurrence, encode, leakage, repetition, terms, text
+from quirefold.llm import cooccurrence, encode, leakage, names, repetition, terms, text
 from quirefold.runtime import table
 
 
@@ -34,6 +34,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_terms(spark, d).where("mark IS NOT NULL").select("tag", "mark")
 
 
+def p6_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Every row that names somebody, with its entity and the number of rows it is linked to."""
+    members = names.entities(table(spark, d, "authors"), "id", "author")
+    sizes = members.groupBy("entity").agg((F.count("*") - 1).alias("n_links"))
+    return members.join(sizes, "entity").select(F.col("id").alias("author_id"), "entity", "n_links")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.variant_pairs(names.entities(table(spark, d, "authors"), "id", "author"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -121,7 +132,7 @@ SELECT doc_id, coalesce(len(w), 0) AS n_words, round(coalesce(hit.n, 0) / greate
 FROM documents LEFT JOIN d USING (doc_id) LEFT JOIN hit USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_terms, p7_ids, p7_decoded, p8_found, p8_overlap, p9_found, p9_shares, p9_ablations)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_terms, p6_found, p6_entities, p7_ids, p7_decoded, p8_found, p8_overlap, p9_found, p9_shares, p9_ablations)}
 
 ORACLES = {
     "p1_found": f"SELECT tag_a, tag_b FROM ({P1_SQL})",
