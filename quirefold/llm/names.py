@@ -272,7 +272,7 @@ def links(reads: DataFrame, radius: int = 3) -> DataFrame:
         F.countDistinct("id").alias("n"), F.first("given").alias("given"), F.first("firm").alias("firm")
     )
     nodes = materialize(nodes, "nodes")
-    weights = nodes.groupBy("name").agg(F.sum("n").alias("w"))
+    weights = reads.select("name", "id").distinct().groupBy("name").agg(F.count("*").alias("w"))
     full = materialize(nodes.join(weights, "name"), "weighted")
     near = radius_join(full.select("block", "name").distinct(), radius)
     same = full.select("block", F.col("name").alias("name_a"), F.col("name").alias("name_b"), F.lit(0).alias("d")).distinct()
