@@ -103,8 +103,8 @@ FILTER_SQL = {
     "filter_ext": ("Ext_.md", r"regexp_extract(path, '(\.[^./]*)$', 1) = '.md'"),
     "filter_ext_none": ("Ext_", r"regexp_extract(path, '(\.[^./]*)$', 1) = ''"),
     "filter_maxsize": ("MaxSize_1000", "length <= 1000"),
-    "filter_exclude_name": ("ExcludeName_inland-dial-3.md,x.md", "path NOT SIMILAR TO '(.*/)?(inland-dial-3|x)[.]md'"),
-    "filter_include_name": ("IncludeName_inland-dial-3.md,x.md", "path SIMILAR TO '(.*/)?(inland-dial-3|x)[.]md'"),
+    "filter_exclude_name": ("ExcludeName_ordinary-weir-7.md,x.md", "path NOT SIMILAR TO '(.*/)?(ordinary-weir-7|x)[.]md'"),
+    "filter_include_name": ("IncludeName_ordinary-weir-7.md,x.md", "path SIMILAR TO '(.*/)?(ordinary-weir-7|x)[.]md'"),
     "filter_exclude_parent": ("ExcludeParent_templates", "NOT list_contains(string_split(path, '/'), 'templates')"),
     "filter_include_regex": (r"IncludeRegex_^(garden|river)/", "regexp_matches(path, '^(garden|river)/')"),
     "filter_exclude_regex": (r"ExcludeRegex_^(garden|river)/", "NOT regexp_matches(path, '^(garden|river)/')"),
@@ -344,15 +344,15 @@ def fn_coalesce(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "note_files").select("id", F.coalesce("filetime", F.lit("1970-01-01").cast("timestamp_ntz")).alias("filetime"))
 
 
-@add("fn_levenshtein")
+@add("fn_levenshtein", "SELECT p_partkey, levenshtein(p_name, 'lemon') AS n FROM part")
 def fn_levenshtein(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "tags").select("id", F.levenshtein("tag", F.lit("harbour")).alias("n"))
+    return table(spark, d, "part").select("p_partkey", F.levenshtein("p_name", F.lit("lemon")).cast("bigint").alias("n"))
 
 
-@add("fn_nearest")
+@add("fn_nearest", "SELECT c_custkey, CASE WHEN least(levenshtein(c_mktsegment, 'BUILDER'), levenshtein(c_mktsegment, 'MACHINES')) < 5 THEN CASE WHEN levenshtein(c_mktsegment, 'BUILDER') <= levenshtein(c_mktsegment, 'MACHINES') THEN 'BUILDER' ELSE 'MACHINES' END END AS nearest FROM customer")
 def fn_nearest(spark: SparkSession, d: str) -> DataFrame:
-    near = scalar.nearest(F.col("tag"), ["loom", "pump", "quay", "weir"], 3)
-    return table(spark, d, "tags").select("id", near.alias("nearest")).where("nearest IS NOT NULL")
+    near = scalar.nearest(F.col("c_mktsegment"), ["BUILDER", "MACHINES"], 5)
+    return table(spark, d, "customer").select("c_custkey", near.alias("nearest"))
 
 
 @add("fn_path_parts", r"SELECT path, string_split(path, '/')[-1] AS base, regexp_extract(path, '(\.[^./]*)$', 1) AS ext, len(string_split(path, '/')) AS steps FROM note_files")

@@ -97,22 +97,36 @@ def or_null(array: Column) -> Column:
     return F.when(F.size(array) > 0, array).otherwise(F.array(F.lit(None).cast("string")))
 
 
+def conjuncts(tree: Clause) -> tuple[Clause | None, Clause | None]:
+    """A tree as two that must both hold: one without sets, whose comparisons can reach the scan, and the rest."""
+    if tree.any_of:
+        return (None, tree) if referenced_sets(tree) else (tree, None)
+    plain, rest = Clause(), Clause()
+    for s in tree.statements:
+        (rest if s.category.is_set else plain).statements.append(s)
+    for c in tree.clauses:
+        (rest if referenced_sets(c) else plain).clauses.append(c)
+    some = lambda c: c if c.statements or c.clauses else None
+    return some(plain), some(rest)
+
+
 def exists_column(tree: Clause) -> Column:
-    """The condition on a row of the document model."""
+    """The condition on a row of the document model; null counts as false."""
     columns = {c: F.col(c.value) for c in tree.categories() if not c.is_set}
 
-    def nest(sets: list[Category]) -> Column:
+    def nest(part: Clause, sets: list[Category]) -> Column:
         if not sets:
-            return predicate(tree, ColumnNotation(columns))
+            return predicate(part, ColumnNotation(columns))
         first, *rest = sets
 
         def inner(x: Column) -> Column:
             columns[first] = x
-            return nest(rest)
+            return nest(part, rest)
 
         return F.exists(or_null(F.col(first.value)), inner)
 
-    return F.coalesce(nest(referenced_sets(tree)), F.lit(False))
+    parts = [nest(c, referenced_sets(c)) for c in conjuncts(tree) if c]
+    return reduce(lambda a, b: a & b, parts)
 
 
 def select_documents(docs: DataFrame, tree: Clause) -> DataFrame:

@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from datetime import datetime, timezone
+from urllib.parse import unquote, urlsplit
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FILES = "path string, length bigint, filetime timestamp_ntz, content string"
+
 
 def crawl(spark: SparkSession, root: str, ignore_hidden: bool = True) -> DataFrame:
-    """(path, length, filetime, content) of all files below `root`, path relative to it. Hidden files and all below hidden
-    folders are left out; the root itself may be hidden. Content is read only by plans that use it."""
+    """FILES of all files below `root`, paths relative to it. With `ignore_hidden`, hidden files and all below hidden folders
+    are left out; the root itself may be hidden. Content is read only by plans that use it.
+
+    Spark lists no file of no bytes (it has no header and would be no document) and none whose name starts with `_` or `.`;
+    on file systems that are mounted (`file:`) the latter are found by a walk and read beside.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     base = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
@@ -18,9 +30,44 @@ def crawl(spark: SparkSession, root: str, ignore_hidden: bool = True) -> DataFra
         F.date_trunc("second", F.col("modificationTime")).cast("timestamp_ntz").alias("filetime"),
         F.decode(F.col("content"), "UTF-8").alias("content"),
     )
+    if base.startswith("file:"):
+        odd = _odd_names(unquote(urlsplit(base).path))
+        if odd:
+            out = out.unionByName(_read(spark, unquote(urlsplit(base).path), odd))
     return out.where(~F.col("path").rlike(r"(^|/)\.")) if ignore_hidden else out
 
 
+def _odd_names(root: str) -> list[str]:
+    """Paths below `root` of which a step starts with `_` or `.`."""
+    found = []
+    for folder, _, names in os.walk(root):
+        inside = os.path.relpath(folder, root)
+        steps = [] if inside == "." else inside.split(os.sep)
+        hidden = any(s[0] in "_." for s in steps)
+        found += ["/".join([*steps, n]) for n in names if hidden or n[0] in "_."]
+    return found
+
+
+def _read(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                full = os.path.join(root, path)
+                moment = datetime.fromtimestamp(int(os.path.getmtime(full)), timezone.utc).replace(tzinfo=None)
+                with open(full, "rb") as f:
+                    content = f.read()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([path]), pa.array([len(content)], pa.int64()), pa.array([moment], pa.timestamp("us")),
+                        pa.array([content.decode("utf-8", "replace")]),
+                    ],
+                    names=["path", "length", "filetime", "content"],
+                )
+
+    listed = spark.createDataFrame([(p,) for p in paths], "path string")
+    return listed.mapInArrow(work, FILES)
+
+
 def table_files(docs: DataFrame, notes: DataFrame) -> DataFrame:
     """The same columns from a table of texts and the paths they belong to."""
     paths = notes.select(F.col("id").alias("doc_id"), "path", F.date_trunc("second", "filetime").cast("timestamp_ntz").alias("filetime"))
