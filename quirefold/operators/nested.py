@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.runtime import spread
+
 try:
     import yaml
 except ImportError:  # the operator then raises when it is used
@@ -138,7 +140,7 @@ def label_nodes(df: DataFrame, id_col: str, text_col: str, values: bool = True)
                 yield _batch(ids, cols)
 
     source = df.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL AND t <> ''")
-    return source.mapInArrow(run, NODES)
+    return spread(source).mapInArrow(run, NODES)
 
 
 def _batch(ids: list, cols: tuple) -> pa.RecordBatch:

@@ -28,6 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores, if its scan has fewer parts than there are cores: one small file would keep the rest idle while
+    texts are worked on. Larger inputs have more parts than cores and are not moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 _scratch: list[tuple[SparkSession, str]] = []
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.lang.dates import parse_datetime
+from quirefold.runtime import spread
 from quirefold.sources.filters import HEADER
 
 try:
@@ -77,7 +78,7 @@ def read_header(text: str, options: ParseOptions) -> dict:
     if yaml is None:
         raise RuntimeError("reading YAML needs the package yaml")
     try:
-        root = yaml.compose(text, Loader=yaml.SafeLoader)
+        root = yaml.compose(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
     except yaml.YAMLError as e:
         raise HeaderError(str(e).split("\n")[0]) from None
     out = {"title": None, "tags": None, "date": None, "authors": None, "meta": None}
@@ -146,7 +147,7 @@ def parse(files: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame
 
     text = body(F.col("content"))
     none = F.lit(None)
-    source = files.select(
+    source = spread(files).select(
         *kept, "path", "filetime",
         (headings(text) if options.headings else none.cast("string")).alias("headings"),
         (links(text) if options.links else none.cast("array<string>")).alias("links"),
