@@ -254,10 +254,11 @@ def anti_orphan_tags(spark: SparkSession, d: str) -> DataFrame:
     return view.unused(table(spark, d, "tags"), table(spark, d, "document_tags"), "tag_id")
 
 
-@add("join_dictionary", "SELECT event_id, event_type AS tag, id AS tag_id FROM (SELECT event_id, 'loom' AS event_type FROM events) JOIN tags ON tag = event_type")
+@add("join_dictionary", "SELECT DISTINCT doc_id, t.tag, t.id AS tag_id FROM document_tags d JOIN tags n ON d.tag_id = n.id JOIN tags t ON t.tag = n.tag WHERE n.tag <> ''")
 def join_dictionary(spark: SparkSession, d: str) -> DataFrame:
-    values = table(spark, d, "events").select("event_id", F.lit("loom").alias("tag"))
-    return view.dictionary_encode(values, table(spark, d, "tags"), "tag")
+    """Tags of notes, given as texts, to the ids they have in the dictionary."""
+    values = corpora.note_tags(spark, d).where("tag IS NOT NULL").distinct()
+    return view.dictionary_encode(values, table(spark, d, "tags"), "tag").select("doc_id", "tag", "tag_id")
 
 
 # -- aggregates -----------------------------------------------------------------------------------------------------

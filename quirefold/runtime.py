@@ -28,11 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """`df` over all cores, if its scan has fewer parts than there are cores: one small file would keep the rest idle while
-    texts are worked on. Larger inputs have more parts than cores and are not moved."""
+def spread(df: DataFrame, least_mb: int = 4) -> DataFrame:
+    """`df` over all cores if there are less than `least_mb` of it for each: one small file would keep the rest idle while
+    texts are worked on. Larger inputs are not moved. The size is the planner's estimate; nothing runs."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * least_mb * 1_000_000 else df
 
 
 _scratch: list[tuple[SparkSession, str]] = []
