@@ -32,7 +32,7 @@ def spread(df: DataFrame, least_mb: int = 4) -> DataFrame:
     """`df` over all cores if there are less than `least_mb` of it for each: one small file would keep the rest idle while
     texts are worked on. Larger inputs are not moved. The size is the planner's estimate; nothing runs."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * least_mb * 1_000_000 else df
 
 
