@@ -239,6 +239,11 @@ def readings(authors: DataFrame, id_col: str, name_col: str) -> DataFrame:
     return source.select(F.col(id_col).cast("bigint").alias("i"), F.col(name_col).alias("n")).mapInArrow(work, READINGS)
 
 
+def _bit(char):
+    """One of 64 bits for a letter; the empty string has none."""
+    return F.when(char == "", F.lit(0).cast("bigint")).otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.ascii(char) % 64))
+
+
 def radius_join(points: DataFrame, radius: int, cell_size: int = 500, max_pivots: int = 64) -> DataFrame:
     """(block, name_a, name_b, d) of all names of a block within `radius`, name_a < name_b, by pivots.
 
@@ -252,12 +257,17 @@ def radius_join(points: DataFrame, radius: int, cell_size: int = 500, max_pivots
     placed = skew_join(points, pivots, ["block"]).withColumn("ds", F.transform("p", lambda x: F.levenshtein("name", x)))
     near = placed.withColumn("least", F.array_min("ds")).select("block", "name", "least", F.posexplode("ds").alias("cell", "d"))
     cells = materialize(near.where(F.col("d") <= F.col("least") + 2 * radius), "cells")
-    # Home: the first cell at the least distance.
-    home = cells.where("d = least").groupBy("block", "name").agg(F.min("cell").alias("cell"), F.min("d").alias("da"))
-    a = home.select("block", "cell", F.col("name").alias("name_a"), "da")
-    b = cells.select("block", "cell", F.col("name").alias("name_b"), F.col("d").alias("db"))
-    both = a.join(b, ["block", "cell"]).where("name_a < name_b").where(F.abs(F.col("da") - F.col("db")) <= radius)
-    both = both.where(F.abs(F.length("name_a") - F.length("name_b")) <= radius)
+    # Home: the first cell at the least distance. Both sides carry cheap lower bounds of the distance: to the pivot, the length
+    # and which letters occur (an edit brings one letter at most, and takes one at most).
+    letters = F.aggregate(F.split("name", ""), F.lit(0).cast("bigint"), lambda m, c: m.bitwiseOR(_bit(c)))
+    cells = cells.withColumn("size", F.length("name")).withColumn("letters", letters)
+    side = lambda rows, s: rows.select("block", "cell", *[F.col(c).alias(f"{c}_{s}") for c in ("name", "d", "size", "letters")])
+    home = F.struct("cell", "d", "size", "letters")
+    a = cells.where("d = least").groupBy("block", "name").agg(F.min(home).alias("h")).select("block", "name", "h.*")
+    both = side(a, "a").join(side(cells, "b"), ["block", "cell"])
+    differ = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y)))) <= radius
+    both = both.where(F.abs(F.col("d_a") - F.col("d_b")) <= radius).where(F.abs(F.col("size_a") - F.col("size_b")) <= radius)
+    both = both.where(differ("letters_a", "letters_b") & differ("letters_b", "letters_a")).where("name_a < name_b")
     near = both.withColumn("d", F.levenshtein("name_a", "name_b", radius)).where("d >= 0")
     return near.select("block", "name_a", "name_b", "d")
 
