@@ -22,9 +22,11 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from quirefold.llm.cooccurrence import chunks, pairs
 from quirefold.operators.skew import skew_join
@@ -272,11 +274,17 @@ def radius_join(points: DataFrame, radius: int, cell_size: int = 500, max_pivots
     return near.select("block", "name_a", "name_b", "d")
 
 
+@F.pandas_udf(IntegerType())
+def slips(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([edits(x, y, 3) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+
 def links(reads: DataFrame, radius: int = 3) -> DataFrame:
     """(node, parent): every node that is not the best of its neighbours, with the one it means the same as.
 
-    A rare spelling near an established one (counted over all given names) is taken for a slip of it: the distance may be
-    3 for a spelling seen once with an equal given name, 2 for one seen up to twice, 1 up to three times.
+    A rare spelling near an established one (counted over all given names) is taken for slips of it: three for a spelling
+    seen once with an equal given name, two for one seen up to twice, one up to three times. A slip is an edit or a swap of
+    neighbours; it is counted for the pairs of the radius join.
     """
     nodes = reads.groupBy("node", "block", "name").agg(
         F.countDistinct("id").alias("n"), F.first("given").alias("given"), F.first("firm").alias("firm")
@@ -285,6 +293,7 @@ def links(reads: DataFrame, radius: int = 3) -> DataFrame:
     weights = reads.select("name", "id").distinct().groupBy("name").agg(F.count("*").alias("w"))
     full = materialize(nodes.join(weights, "name"), "weighted")
     near = radius_join(full.select("block", "name").distinct(), radius)
+    near = near.select("block", "name_a", "name_b", F.when(F.col("d") == 1, 1).otherwise(slips("name_a", "name_b")).alias("d"))
     same = full.select("block", F.col("name").alias("name_a"), F.col("name").alias("name_b"), F.lit(0).alias("d")).distinct()
     flip = near.select("block", F.col("name_b").alias("name_a"), F.col("name_a").alias("name_b"), "d")
     close = materialize(near.unionByName(flip).unionByName(same), "close")
