@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.runtime import materialize
+from quirefold.runtime import materialize, spread
 
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pattern that cuts texts into pre-tokens before the merges of byte_bpe_50k.
@@ -85,7 +85,8 @@ def blocks(df: DataFrame, id_col: str, text_col: str, block_words: int = 1_000_0
     cut = F.regexp_extract_all(F.col(text_col), F.lit(java_pattern(pattern)), F.lit(0))
     # Characters that this Java does not know yet: their texts are cut by the tokenizer's own library.
     newer = F.col(text_col).rlike(r"\p{Cn}")
-    source = df.select(F.col(id_col).cast("bigint").alias("i"), F.when(newer, _cut(F.col(text_col))).otherwise(cut).alias("w"))
+    rows = spread(df.select(id_col, text_col))
+    source = rows.select(F.col(id_col).cast("bigint").alias("i"), F.when(newer, _cut(F.col(text_col))).otherwise(cut).alias("w"))
     return source.mapInArrow(work, BLOCKS)
 
 

@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm.text import word_codes, words
+from quirefold.runtime import spread
 
-PAIRS = "doc_id bigint, item_id bigint, start bigint, n_words bigint"
+PAIRS = "doc_id bigint, item_id bigint, start bigint, n_words bigint, item_start bigint"
 
 
 class ItemIndex:
@@ -74,7 +75,7 @@ class ItemIndex:
             np.maximum.at(self.bound, p["t"], p["w"])
 
 
-def spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of all ranges [start, end), and for each of them which range it is from."""
     n = end - start
     which = np.repeat(np.arange(len(n)), n)
@@ -96,13 +97,13 @@ def retrieve(index: ItemIndex, terms: np.ndarray, starts: np.ndarray, ends: np.n
     if not len(alive):
         return none, none
     # The distinct terms of each passage.
-    at, which = spread(starts[alive], ends[alive])
+    at, which = ranges(starts[alive], ends[alive])
     size = len(index.terms)
     known = terms[at] < size
     pairs = np.unique(which[known] * size + terms[at][known])
     passage, term = pairs // size, pairs % size
     # 2. Block maxima.
-    entry, from_ = spread(index.term_blocks[term], index.term_blocks[term + 1])
+    entry, from_ = ranges(index.term_blocks[term], index.term_blocks[term + 1])
     blocks = int(index.block_no.max()) + 1
     cell = passage[from_] * blocks + index.block_no[entry]
     cells, bound = _sums(cell, index.block_max[entry])
@@ -112,7 +113,7 @@ def retrieve(index: ItemIndex, terms: np.ndarray, starts: np.ndarray, ends: np.n
         return none, none
     # 3. Scores within the blocks that are left.
     entry, owner = entry[keep], passage[from_][keep]
-    post, of = spread(index.block_start[entry], index.block_start[entry + 1])
+    post, of = ranges(index.block_start[entry], index.block_start[entry + 1])
     count = len(index.ids)
     found, score = _sums(owner[of] * count + index.post_item[post], index.post_impact[post])
     hits = found[score >= 1 - 1e-6]
@@ -124,14 +125,14 @@ def _passages(offsets: np.ndarray, window: int, run: int) -> tuple[np.ndarray, n
     n = np.diff(offsets)
     step = window - run + 1
     count = np.where(n >= run, np.maximum(1, -(-(n - run + 1) // step)), 0)
-    k, text = spread(np.zeros_like(count), count)
+    k, text = ranges(np.zeros_like(count), count)
     start = offsets[text] + k * step
     return text, start, np.minimum(start + window, offsets[text + 1])
 
 
 def leaks(docs: DataFrame, items: DataFrame, run: int = 8, window: int = 32, shard_bytes: int = 32_000_000) -> DataFrame:
-    """(doc_id, item_id, start, n_words): documents and items that share at least `run` consecutive words, with the place
-    (in words of the document) and length of the longest run they share. docs: doc_id, text. items: item_id, text."""
+    """(doc_id, item_id, start, n_words, item_start): documents and items that share at least `run` consecutive words, with
+    the length of the longest run they share and its place in the words of both. docs: doc_id, text. items: item_id, text."""
     spark = docs.sparkSession
     clean = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
     volume = clean.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -142,9 +143,8 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = 8, window: int = 32, sha
         index = spark.sparkContext.broadcast(ItemIndex([tuple(r) for r in part.collect()], run))
         found = _pass(docs, index, window)
         out = found if out is None else out.unionByName(found)
-    best = F.max(F.struct("n_words", -F.col("start"))).alias("m")
-    longest = out.groupBy("doc_id", "item_id").agg(best)
-    return longest.select("doc_id", "item_id", (-F.col("m")["col2"]).alias("start"), F.col("m")["n_words"].alias("n_words"))
+    best = F.max_by(F.struct("start", "n_words", "item_start"), F.struct("n_words", -F.col("start"), -F.col("item_start"))).alias("m")
+    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.*")
 
 
 def _pass(docs: DataFrame, shared, window: int) -> DataFrame:
@@ -161,7 +161,7 @@ def _pass(docs: DataFrame, shared, window: int) -> DataFrame:
             terms = of[codes]
             text, start, end = _passages(offsets, window, run)
             passage, item = retrieve(index, terms, start, end)
-            rows: dict[tuple[int, int], tuple[int, int]] = {}
+            rows: dict[tuple[int, int], tuple[int, int, int]] = {}
             for p, i in zip(passage.tolist(), item.tolist(), strict=True):
                 verify(index, terms, int(offsets[text[p]]), int(offsets[text[p] + 1]), int(start[p]), int(end[p]), i, int(text[p]), rows)
             ids = batch.column(0)
@@ -169,14 +169,13 @@ def _pass(docs: DataFrame, shared, window: int) -> DataFrame:
                 [
                     ids.take(pa.array([t for t, _ in rows], pa.int64())),
                     pa.array([index.ids[i] for _, i in rows], pa.int64()),
-                    pa.array([s for s, _ in rows.values()], pa.int64()),
-                    pa.array([n for _, n in rows.values()], pa.int64()),
+                    *[pa.array([r[k] for r in rows.values()], pa.int64()) for k in range(3)],
                 ],
-                names=["doc_id", "item_id", "start", "n_words"],
+                names=["doc_id", "item_id", "start", "n_words", "item_start"],
             )
 
     source = docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    return source.select(F.col("doc_id").cast("bigint").alias("i"), F.col("text").alias("t")).mapInArrow(work, PAIRS)
+    return spread(source.select(F.col("doc_id").cast("bigint").alias("i"), F.col("text").alias("t"))).mapInArrow(work, PAIRS)
 
 
 def verify(index: ItemIndex, terms: np.ndarray, first: int, last: int, start: int, end: int, item: int, text: int, rows: dict) -> None:
@@ -194,16 +193,25 @@ def verify(index: ItemIndex, terms: np.ndarray, first: int, last: int, start: in
                     b, m = b + 1, m + 1
                 old = rows.get((text, item))
                 if old is None or b - a > old[1]:
-                    rows[text, item] = (a - first, b - a)
+                    rows[text, item] = (a - first, b - a, k)
 
 
 def overlap(found: DataFrame, items: DataFrame) -> DataFrame:
-    """Adds n_item_words and share: the part of the item's words that the longest shared run covers. Per pair found."""
-    n = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), "text").dropDuplicates(["item_id"])
-    counted = n.mapInPandas(_count_words, "item_id bigint, n_item_words bigint")
-    return found.join(counted, "item_id").withColumn("share", F.col("n_words") / F.col("n_item_words"))
-
-
-def _count_words(frames):
+    """Adds what the longest shared run covers of the item: share of all its words, of the question (up to the last question
+    mark; all of it if there is none) and of the answer (what follows; null if nothing does)."""
+    texts = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), "text").dropDuplicates(["item_id"])
+    both = found.join(texts.mapInPandas(_sizes, "item_id bigint, n_item_words bigint, n_question_words bigint"), "item_id")
+    end, asked = F.col("item_start") + F.col("n_words"), F.col("n_question_words")
+    in_question = F.greatest(F.least(end, asked) - F.col("item_start"), F.lit(0))
+    answer = F.col("n_item_words") - asked
+    return both.select(
+        *found.columns, "n_item_words", (F.col("n_words") / F.col("n_item_words")).alias("share"),
+        F.when(asked > 0, in_question / asked).alias("question_share"),
+        F.when(answer > 0, (F.col("n_words") - in_question) / answer).alias("answer_share"),
+    )
+
+
+def _sizes(frames):
     for f in frames:
-        yield f.assign(n_item_words=f["text"].map(lambda t: len(words(t))))[["item_id", "n_item_words"]]
+        asked = [len(words(t[: t.rfind("?") + 1] if t and "?" in t else t)) for t in f["text"]]
+        yield f.assign(n_item_words=[len(words(t)) for t in f["text"]], n_question_words=asked)[["item_id", "n_item_words", "n_question_words"]]

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm.text import word_codes
+from quirefold.runtime import spread
 
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
 MEASURES = "doc_id bigint, n_words bigint, run_share double, line_share double, paragraph_share double"
@@ -105,7 +106,8 @@ def measure(df: DataFrame, id_col: str, text_col: str, run: int = 5) -> DataFram
                 names=["doc_id", "n_words", "run_share", "line_share", "paragraph_share"],
             )
 
-    return df.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).mapInArrow(work, MEASURES)
+    rows = df.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t"))
+    return spread(rows).mapInArrow(work, MEASURES)
 
 
 def ledger(measures: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -99,7 +99,14 @@ def test_leaks_of_nothing(spark):
     assert leakage.leaks(frame(spark, []), items).collect() == []
     assert leakage.leaks(frame(spark, [(1, "a b c d e f g h")]), items.limit(0)).collect() == []
     rows = leakage.overlap(leakage.leaks(frame(spark, [(1, "x A b c d e f g H")]), items), items).collect()
-    assert [(r.doc_id, r.item_id, r.start, r.n_words, r.share) for r in rows] == [(1, 1, 1, 8, 1.0)]
+    assert [(r.doc_id, r.item_id, r.start, r.n_words, r.share, r.question_share, r.answer_share) for r in rows] == [(1, 1, 1, 8, 1.0, 1.0, None)]
+
+
+def test_overlap_with_question_and_answer(spark):
+    items = spark.createDataFrame([(1, "a b c d e f g h? i j k l")], "item_id bigint, text string")
+    docs = frame(spark, [(1, "z c d e f g h i j y"), (2, "a b c d e f g h"), (3, "a b c d e f g")])
+    rows = leakage.overlap(leakage.leaks(docs, items), items).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.start, r.n_words, r.item_start, r.question_share, r.answer_share) for r in rows] == [(1, 1, 8, 2, 0.75, 0.5), (2, 0, 8, 0, 1.0, 0.0)]
 
 
 # -- repetition ------------------------------------------------------------------------------------------------------
