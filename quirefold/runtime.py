@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def spread(df: DataFrame, least_mb: int = 4) -> DataFrame:
+def spread(df: DataFrame, least_mb: int = 1) -> DataFrame:
     """`df` over all cores if there are less than `least_mb` of it for each: one small file would keep the rest idle while
     texts are worked on. Larger inputs are not moved. The size is the planner's estimate; nothing runs."""
     cores = df.sparkSession.sparkContext.defaultParallelism
