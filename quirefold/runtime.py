@@ -30,9 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def spread(df: DataFrame, least_mb: int = 1) -> DataFrame:
     """`df` over all cores if there are less than `least_mb` of it for each: one small file would keep the rest idle while
-    texts are worked on. Larger inputs are not moved. The size is the planner's estimate; nothing runs."""
+    texts are worked on. Larger inputs are not moved. The size is that of the tables it reads; nothing runs."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return df.repartition(cores) if size < cores * least_mb * 1_000_000 else df
 
 
