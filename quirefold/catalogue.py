@@ -187,12 +187,8 @@ def agg_index_stats(spark: SparkSession, d: str) -> DataFrame:
 _FLAT = ["doc_id", "path", "title", "date", "filetime", "headings", "meta"]
 
 
-def _flat(docs: DataFrame, separator: str = "\x1f") -> DataFrame:
-    return docs.select(*_FLAT, *[F.coalesce(F.array_join(c, separator), F.lit("")).alias(c) for c in ("authors", "tags", "links")])
-
-
-def _lists(c: str, order: str = "") -> str:
-    return f"coalesce(string_agg({c}, chr(31) ORDER BY {c}), '')"
+def _flat(docs: DataFrame) -> DataFrame:
+    return docs.select(*_FLAT, *[F.coalesce(F.array_join(c, "\x1f"), F.lit("")).alias(c) for c in ("authors", "tags", "links")])
 
 
 NOTES_SQL = f"""(SELECT b.id AS doc_id, b.path, b.title, b.date, b.filetime, b.headings, b.meta,

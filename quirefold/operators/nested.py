@@ -41,10 +41,6 @@ _ARROW = pa.schema(
 )
 
 
-class _Malformed(Exception):
-    pass
-
-
 def label_text(text: str, values: bool = True) -> list[tuple[list[int], list[str], str, dict | None]]:
     """(dewey, steps, kinds, record) of the list elements of one YAML text, in document order; [] if it is malformed.
 
@@ -155,7 +151,7 @@ def path_text(steps: Column) -> Column:
 
 def parent_depth(kinds: Column) -> Column:
     """How many steps lead to the nearest enclosing object of a list: the label is truncated to so many; 0 for none."""
-    above = F.expr("substring(kinds, 1, length(kinds) - 1)") if kinds is None else kinds.substr(F.lit(1), F.length(kinds) - 1)
+    above = kinds.substr(F.lit(1), F.length(kinds) - 1)
     return F.when(F.instr(above, OBJECT) == 0, F.lit(0)).otherwise(
         F.length(above) - F.instr(F.reverse(above), OBJECT) + 1
     )
