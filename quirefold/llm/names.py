@@ -64,6 +64,8 @@ TITLES = {"dr", "prof", "professor", "mx", "mr", "mrs", "ms", "miss", "sir", "da
 SUFFIXES = {"jr", "sr", "msc", "phd", "bsc", "esq", "md", "editor", "ii", "iii"}
 NOBODY = {"", "unknown", "anonymous", "anon", "na", "none", "null", "nobody", "noname", "nn", "various", "tbd", "author", "noauthor", "unnamed", "notknown"}
 LINKING = {"of", "the", "and", "for", "de"}
+#: How many times the rows of a spelling the established one must have at least, by the slips between them.
+SHARES = {1: 2, 2: 5, 3: 25}
 _LETTERS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i"})
 
 READINGS = "id bigint, node string, block string, name string, given array<string>, firm boolean"
@@ -282,32 +284,32 @@ def slips(a: pd.Series, b: pd.Series) -> pd.Series:
 def links(reads: DataFrame, radius: int = 3) -> DataFrame:
     """(node, parent): every node that is not the best of its neighbours, with the one it means the same as.
 
-    A rare spelling near an established one (counted over all given names) is taken for slips of it: three for a spelling
-    seen once with an equal given name, two for one seen up to twice, one up to three times. A slip is an edit or a swap of
-    neighbours; it is counted for the pairs of the radius join.
+    A rare spelling near an established one (rows counted over all given names) is taken for slips of it if it has at most
+    1/SHARES[slips] of its rows. Half of its rows (for one slip: as many) are allowed if that is no more than the rarest reading
+    of it has. Both compare rows with rows, so the same rows many times over give the same links. Three slips need an equal
+    given name on both sides. A slip is an edit or a swap of neighbours; it is counted for the pairs of the radius join.
     """
     nodes = reads.groupBy("node", "block", "name").agg(
         F.countDistinct("id").alias("n"), F.first("given").alias("given"), F.first("firm").alias("firm")
     )
     nodes = materialize(nodes, "nodes")
     weights = reads.select("name", "id").distinct().groupBy("name").agg(F.count("*").alias("w"))
-    full = materialize(nodes.join(weights, "name"), "weighted")
+    rarest = nodes.groupBy("name").agg(F.min("n").alias("u"))
+    full = materialize(nodes.join(weights, "name").join(rarest, "name"), "weighted")
     near = radius_join(full.select("block", "name").distinct(), radius)
     near = near.select("block", "name_a", "name_b", F.when(F.col("d") == 1, 1).otherwise(slips("name_a", "name_b")).alias("d"))
     same = full.select("block", F.col("name").alias("name_a"), F.col("name").alias("name_b"), F.lit(0).alias("d")).distinct()
     flip = near.select("block", F.col("name_b").alias("name_a"), F.col("name_a").alias("name_b"), "d")
     close = materialize(near.unionByName(flip).unionByName(same), "close")
-    side = lambda s: full.select("block", *[F.col(c).alias(f"{c}_{s}") for c in ("name", "node", "n", "given", "firm", "w")])
+    side = lambda s: full.select("block", *[F.col(c).alias(f"{c}_{s}") for c in ("name", "node", "n", "given", "firm", "w", "u")])
     met = close.join(side("a"), ["block", "name_a"]).join(side("b"), ["block", "name_b"]).where("node_a <> node_b")
     rank = lambda s: F.struct(f"firm_{s}", f"w_{s}", f"n_{s}", f"node_{s}")
     agree = (F.size("given_a") == 0) | (F.size("given_b") == 0) | F.arrays_overlap("given_a", "given_b")
     rarer, known = F.least("w_a", "w_b"), F.col("firm_a") & F.col("firm_b")
-    likely = (
-        (F.col("d") == 0)
-        | ((F.col("d") == 1) & (rarer <= 3))
-        | ((F.col("d") == 2) & (rarer <= F.when(known, 2).otherwise(1)))
-        | ((F.col("d") == 3) & (rarer == 1) & known & (F.length("name_a") >= 8))
-    )
+    most = F.greatest("w_a", "w_b")
+    alone = (F.col("w_b") == most) & (rarer <= F.col("u_b")) | (F.col("w_a") == most) & (rarer <= F.col("u_a"))
+    slip = lambda d: (F.col("d") == d) & (alone & (rarer * min(d, 2) <= most) | (rarer * SHARES[d] <= most))
+    likely = (F.col("d") == 0) | slip(1) | slip(2) | (slip(3) & known & (F.length("name_a") >= 8))
     up = met.where(agree & likely).withColumn("higher", rank("b") > rank("a")).where("higher")
     order = F.struct(F.col("firm_b"), -F.col("d"), F.col("w_b"), F.col("n_b"), F.col("node_b"))
     best = up.groupBy(F.col("node_a").alias("node")).agg(F.max(order).alias("m"))

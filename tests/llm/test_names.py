@@ -76,6 +76,33 @@ def test_variants_are_linked_and_others_not(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+SLIPS = [
+    ["Roderick Tarvolen", "Tarvolen, Rod", "R. Tarvolen", "rod.tarvolen", "Roderick Tarvloen", "Roderick Tarvollenn", "Roderick Turbolin"],
+    ["Susannah Tarvolen", "Sue Tarvolen"],
+    ["Tarvolen Press", "Press, Tarvolen", "Tarvolne Press"],
+]
+
+
+@pytest.mark.parametrize("times", [1, 4, 10, 1000])
+def test_links_do_not_depend_on_the_number_of_rows(spark, times):
+    firsts, rows = {}, []
+    for k, variants in enumerate(SLIPS):
+        for v in variants:
+            firsts[len(rows)] = k
+            rows += [(len(rows) + i, v, "x", "y") for i in range(times)]
+    entity = {r.id: r.entity for r in names.entities(spark.createDataFrame(rows, AUTHORS), "id", "author").collect()}
+    assert len(entity) == len(rows)
+    for a, b in combinations(firsts, 2):
+        assert (entity[a] == entity[b]) == (firsts[a] == firsts[b]), (rows[a][1], rows[b][1])
+
+
+def test_established_names_close_to_each_other_stay_apart(spark):
+    rows = [(i, "Roderick Tarvolen" if i % 5 < 3 else "Rod Tarvolen", "x", "y") for i in range(60)]
+    rows += [(100 + i, "Roderick Tarvelan" if i % 5 < 3 else "Rod Tarvelan", "x", "y") for i in range(50)]
+    entity = {r.id: r.entity for r in names.entities(spark.createDataFrame(rows, AUTHORS), "id", "author").collect()}
+    assert len({entity[i] for i in range(60)}) == 1 and len({entity[100 + i] for i in range(50)}) == 1 and entity[0] != entity[100]
+
+
 def test_nobody(spark):
     empty = spark.createDataFrame([], AUTHORS)
     assert names.variant_pairs(names.entities(empty, "id", "author")).collect() == []
