@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from quirefold.llm.text import word_codes, words
 from quirefold.runtime import spread
 
-PAIRS = "doc_id bigint, item_id bigint, start bigint, n_words bigint, item_start bigint"
+PAIRS = "doc_id bigint, item_id bigint, start bigint, n_words bigint, item_start bigint, covered array<struct<first: bigint, end: bigint>>"
+RANGES = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
 
 class ItemIndex:
@@ -131,8 +132,9 @@ def _passages(offsets: np.ndarray, window: int, run: int) -> tuple[np.ndarray, n
 
 
 def leaks(docs: DataFrame, items: DataFrame, run: int = 8, window: int = 32, shard_bytes: int = 32_000_000) -> DataFrame:
-    """(doc_id, item_id, start, n_words, item_start): documents and items that share at least `run` consecutive words, with
-    the length of the longest run they share and its place in the words of both. docs: doc_id, text. items: item_id, text."""
+    """(doc_id, item_id, start, n_words, item_start, covered): documents and items that share at least `run` consecutive words,
+    with the length of the longest run they share, its place in the words of both, and the item's words in all runs they share
+    (ranges that may overlap). docs: doc_id, text. items: item_id, text."""
     spark = docs.sparkSession
     clean = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
     volume = clean.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -144,7 +146,8 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = 8, window: int = 32, sha
         found = _pass(docs, index, window)
         out = found if out is None else out.unionByName(found)
     best = F.max_by(F.struct("start", "n_words", "item_start"), F.struct("n_words", -F.col("start"), -F.col("item_start"))).alias("m")
-    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.*")
+    covered = F.array_distinct(F.flatten(F.collect_set("covered"))).alias("covered")  # rows of one id and text have equal ranges
+    return out.groupBy("doc_id", "item_id").agg(best, covered).select("doc_id", "item_id", "m.*", "covered")
 
 
 def _pass(docs: DataFrame, shared, window: int) -> DataFrame:
@@ -161,7 +164,7 @@ def _pass(docs: DataFrame, shared, window: int) -> DataFrame:
             terms = of[codes]
             text, start, end = _passages(offsets, window, run)
             passage, item = retrieve(index, terms, start, end)
-            rows: dict[tuple[int, int], tuple[int, int, int]] = {}
+            rows: dict[tuple[int, int], tuple[int, int, int, set[tuple[int, int]]]] = {}
             for p, i in zip(passage.tolist(), item.tolist(), strict=True):
                 verify(index, terms, int(offsets[text[p]]), int(offsets[text[p] + 1]), int(start[p]), int(end[p]), i, int(text[p]), rows)
             ids = batch.column(0)
@@ -170,8 +173,9 @@ def _pass(docs: DataFrame, shared, window: int) -> DataFrame:
                     ids.take(pa.array([t for t, _ in rows], pa.int64())),
                     pa.array([index.ids[i] for _, i in rows], pa.int64()),
                     *[pa.array([r[k] for r in rows.values()], pa.int64()) for k in range(3)],
+                    pa.array([[{"first": k, "end": m} for k, m in sorted(r[3])] for r in rows.values()], RANGES),
                 ],
-                names=["doc_id", "item_id", "start", "n_words", "item_start"],
+                names=["doc_id", "item_id", "start", "n_words", "item_start", "covered"],
             )
 
     source = docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
@@ -179,7 +183,8 @@ def _pass(docs: DataFrame, shared, window: int) -> DataFrame:
 
 
 def verify(index: ItemIndex, terms: np.ndarray, first: int, last: int, start: int, end: int, item: int, text: int, rows: dict) -> None:
-    """Compare one passage with one item; the longest shared run of at least index.run words goes to rows[text, item]."""
+    """Compare one passage with one item; the longest shared run of at least index.run words goes to rows[text, item],
+    with the ranges of the item's words in all such runs."""
     run, own = index.run, index.coded[item]
     here = terms[start:end].tolist()
     for i in range(len(here) - run + 1):
@@ -192,22 +197,34 @@ def verify(index: ItemIndex, terms: np.ndarray, first: int, last: int, start: in
                 while b < last and m < len(own) and terms[b] == own[m]:
                     b, m = b + 1, m + 1
                 old = rows.get((text, item))
+                covered = old[3] if old else set()
+                covered.add((k, m))
                 if old is None or b - a > old[1]:
-                    rows[text, item] = (a - first, b - a, k)
+                    rows[text, item] = (a - first, b - a, k, covered)
+
+
+def _covered(first, end):
+    """How many of the item's words [first, end) lie in any of the ranges `covered`."""
+
+    def step(s, r):
+        more = F.least(r["end"], end) - F.greatest(r["first"], s["end"], first)
+        return F.struct(F.greatest(s["end"], r["end"]).alias("end"), (s["n"] + F.greatest(more, F.lit(0))).alias("n"))
+
+    zero = F.lit(0).cast("bigint")
+    return F.aggregate(F.array_sort("covered"), F.struct(zero.alias("end"), zero.alias("n")), step, lambda s: s["n"])
 
 
 def overlap(found: DataFrame, items: DataFrame) -> DataFrame:
-    """Adds what the longest shared run covers of the item: share of all its words, of the question (up to the last question
+    """Adds what all shared runs together cover of the item: share of all its words, of the question (up to the last question
     mark; all of it if there is none) and of the answer (what follows; null if nothing does)."""
     texts = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), "text").dropDuplicates(["item_id"])
     both = found.join(texts.mapInPandas(_sizes, "item_id bigint, n_item_words bigint, n_question_words bigint"), "item_id")
-    end, asked = F.col("item_start") + F.col("n_words"), F.col("n_question_words")
-    in_question = F.greatest(F.least(end, asked) - F.col("item_start"), F.lit(0))
-    answer = F.col("n_item_words") - asked
+    size, asked, zero = F.col("n_item_words"), F.col("n_question_words"), F.lit(0).cast("bigint")
+    answer = size - asked
     return both.select(
-        *found.columns, "n_item_words", (F.col("n_words") / F.col("n_item_words")).alias("share"),
-        F.when(asked > 0, in_question / asked).alias("question_share"),
-        F.when(answer > 0, (F.col("n_words") - in_question) / answer).alias("answer_share"),
+        *[c for c in found.columns if c != "covered"], "n_item_words", (_covered(zero, size) / size).alias("share"),
+        F.when(asked > 0, _covered(zero, asked) / asked).alias("question_share"),
+        F.when(answer > 0, _covered(asked, size) / answer).alias("answer_share"),
     )
 
 

@@ -55,7 +55,7 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """The pairs of p8_found with the length of the longest run they share and what it covers of the item."""
+    """The pairs of p8_found with the length of the longest run they share and what all their runs cover of the item."""
     items = table(spark, d, "eval_items")
     found = leakage.overlap(leakage.leaks(table(spark, d, "documents"), items), items)
     shares = [F.round(c, 6).alias(c) for c in ("share", "question_share", "answer_share")]

@@ -109,6 +109,33 @@ def test_overlap_with_question_and_answer(spark):
     assert [(r.doc_id, r.start, r.n_words, r.item_start, r.question_share, r.answer_share) for r in rows] == [(1, 1, 8, 2, 0.75, 0.5), (2, 0, 8, 0, 1.0, 0.0)]
 
 
+def covering(doc, item, run=8):
+    """Places of the item's words that lie in a run of `run` words it shares with the text."""
+    a, b = words(doc), words(item)
+    here = {tuple(a[i : i + run]) for i in range(len(a) - run + 1)}
+    return {j + x for j in range(len(b) - run + 1) if tuple(b[j : j + run]) in here for x in range(run)}
+
+
+def test_overlap_counts_all_shared_runs(spark):
+    question, answer = "q1 q2 q3 q4 q5 q6 q7 q8 q9 q10?", "a1 a2 a3 a4 a5 a6 a7 a8"
+    rng = random.Random(9)
+    items = [(1, f"{question} {answer}"), (2, "b " * 30)] + [(i, " ".join(rng.choices("uvw", k=30)) + "? " + " ".join(rng.choices("uvw", k=20))) for i in range(3, 9)]
+    docs = [(1, f"{question} between {answer}"), (2, f"{answer} {'pad ' * 50} q1 q2 q3 q4 q5 q6 q7 q8 x q3 q4 q5 q6 q7 q8 q9 q10"), (3, "b " * 9 + "x " + "b " * 8)]
+    docs += [(2, f"again {question}"), (2, docs[1][1])] + [(i, " ".join(rng.choices("uvw", k=300))) for i in range(10, 30)]
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.share, r.question_share, r.answer_share) for r in leakage.overlap(leakage.leaks(frame(spark, docs), table), table).collect()}
+    want = {}
+    for d in {d for d, _ in docs}:
+        for i, x in items:
+            hit = set().union(*[covering(t, x) for e, t in docs if e == d])
+            n, asked = len(words(x)), len(words(x[: x.rfind("?") + 1] or x))
+            if hit:
+                asked_hit = sum(p < asked for p in hit)
+                want[d, i] = (len(hit) / n, asked_hit / asked, (len(hit) - asked_hit) / (n - asked) if n > asked else None)
+    assert got == want and len(want) > 20
+    assert got[1, 1] == got[2, 1] == (1.0, 1.0, 1.0)
+
+
 # -- repetition ------------------------------------------------------------------------------------------------------
 def repeated(text, run=5):
     w = words(text)
