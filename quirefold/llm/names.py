@@ -6,8 +6,9 @@
    distinct names of a block are the points of a metric space under the Levenshtein distance, a true metric. Pivots divide it
    into cells; a name lies in the cell of its nearest pivot and is copied to every cell whose pivot is at most twice the
    radius farther away, which by the triangle inequality holds all names that can have a partner there. The exact radius join
-   runs inside each cell, every pair once.
-3. Names within the radius whose given names can be the same are linked: a spelling links to the best established one near
+   runs inside each cell, every pair once. A swap of neighbours is one slip but two edits, so the radius of the join is twice the
+   number of slips.
+3. Names within that number of slips whose given names can be the same are linked: a spelling links to the best established one near
    it. Links lead to the entity.
 
 Defined results: null, blank and placeholder strings name nobody; repeated rows of one id count once; equal strings under
@@ -248,31 +249,37 @@ def _bit(char):
     return F.when(char == "", F.lit(0).cast("bigint")).otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.ascii(char) % 64))
 
 
-def radius_join(points: DataFrame, radius: int, cell_size: int = 500, max_pivots: int = 64) -> DataFrame:
+def radius_join(points: DataFrame, radius: int, cell_size: int = 500, max_pivots: int = 64, swaps: bool = False) -> DataFrame:
     """(block, name_a, name_b, d) of all names of a block within `radius`, name_a < name_b, by pivots.
 
+    swaps: `radius` counts edits and swaps of neighbours. All such pairs and some others are given, d is their Levenshtein
+    distance, in which a swap is two edits: 2 * radius at most.
+
     points: distinct (block, name). A block of n names gets n / cell_size pivots, max_pivots at most, those with the least
     hashes; their number shapes the work only.
     """
+    reach = 2 * radius if swaps else radius
     sizes = points.groupBy("block").agg(F.ceil(F.count("*") / cell_size).cast("int").alias("k"))
     first = Window.partitionBy("block").orderBy(F.xxhash64("name"), "name")  # only max_pivots rows a block leave each task
     ranked = points.withColumn("r", F.row_number().over(first)).where(F.col("r") <= max_pivots)
     pivots = ranked.join(sizes, "block").where("r <= k").groupBy("block").agg(F.array_sort(F.collect_list("name")).alias("p"))
     placed = skew_join(points, pivots, ["block"]).withColumn("ds", F.transform("p", lambda x: F.levenshtein("name", x)))
     near = placed.withColumn("least", F.array_min("ds")).select("block", "name", "least", F.posexplode("ds").alias("cell", "d"))
-    cells = materialize(near.where(F.col("d") <= F.col("least") + 2 * radius), "cells")
+    cells = materialize(near.where(F.col("d") <= F.col("least") + 2 * reach), "cells")
     # Home: the first cell at the least distance. Both sides carry cheap lower bounds of the distance: to the pivot, the length
-    # and which letters occur (an edit brings one letter at most, and takes one at most).
+    # and which letters occur (an edit brings one letter at most, and takes one at most; a swap none).
     letters = F.aggregate(F.split("name", ""), F.lit(0).cast("bigint"), lambda m, c: m.bitwiseOR(_bit(c)))
     cells = cells.withColumn("size", F.length("name")).withColumn("letters", letters)
     side = lambda rows, s: rows.select("block", "cell", *[F.col(c).alias(f"{c}_{s}") for c in ("name", "d", "size", "letters")])
     home = F.struct("cell", "d", "size", "letters")
     a = cells.where("d = least").groupBy("block", "name").agg(F.min(home).alias("h")).select("block", "name", "h.*")
     both = side(a, "a").join(side(cells, "b"), ["block", "cell"])
-    differ = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y)))) <= radius
-    both = both.where(F.abs(F.col("d_a") - F.col("d_b")) <= radius).where(F.abs(F.col("size_a") - F.col("size_b")) <= radius)
-    both = both.where(differ("letters_a", "letters_b") & differ("letters_b", "letters_a")).where("name_a < name_b")
-    near = both.withColumn("d", F.levenshtein("name_a", "name_b", radius)).where("d >= 0")
+    differ = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y))))
+    within = lambda n: (F.abs(F.col("size_a") - F.col("size_b")) <= n) & (differ("letters_a", "letters_b") <= n) & (differ("letters_b", "letters_a") <= n)
+    both = both.where(F.abs(F.col("d_a") - F.col("d_b")) <= reach).where(within(radius)).where("name_a < name_b")
+    near = both.withColumn("d", F.levenshtein("name_a", "name_b", reach)).where("d >= 0")
+    if swaps:  # a distance of radius + s takes s swaps at least, and leaves radius - s edits
+        near = near.where((F.col("d") <= radius) | within(2 * radius - F.col("d")))
     return near.select("block", "name_a", "name_b", "d")
 
 
@@ -287,7 +294,7 @@ def links(reads: DataFrame, radius: int = 3) -> DataFrame:
     A rare spelling near an established one (rows counted over all given names) is taken for slips of it if it has at most
     1/SHARES[slips] of its rows. Half of its rows (for one slip: as many) are allowed if that is no more than the rarest reading
     of it has. Both compare rows with rows, so the same rows many times over give the same links. Three slips need an equal
-    given name on both sides. A slip is an edit or a swap of neighbours; it is counted for the pairs of the radius join.
+    given name on both sides. A slip is an edit or a swap of neighbours; the radius counts slips.
     """
     nodes = reads.groupBy("node", "block", "name").agg(
         F.countDistinct("id").alias("n"), F.first("given").alias("given"), F.first("firm").alias("firm")
@@ -296,11 +303,11 @@ def links(reads: DataFrame, radius: int = 3) -> DataFrame:
     weights = reads.select("name", "id").distinct().groupBy("name").agg(F.count("*").alias("w"))
     rarest = nodes.groupBy("name").agg(F.min("n").alias("u"))
     full = materialize(nodes.join(weights, "name").join(rarest, "name"), "weighted")
-    near = radius_join(full.select("block", "name").distinct(), radius)
+    near = radius_join(full.select("block", "name").distinct(), radius, swaps=True)
     near = near.select("block", "name_a", "name_b", F.when(F.col("d") == 1, 1).otherwise(slips("name_a", "name_b")).alias("d"))
     same = full.select("block", F.col("name").alias("name_a"), F.col("name").alias("name_b"), F.lit(0).alias("d")).distinct()
     flip = near.select("block", F.col("name_b").alias("name_a"), F.col("name_a").alias("name_b"), "d")
-    close = materialize(near.unionByName(flip).unionByName(same), "close")
+    close = materialize(near.unionByName(flip).unionByName(same), "close").where(F.col("d") <= radius)
     side = lambda s: full.select("block", *[F.col(c).alias(f"{c}_{s}") for c in ("name", "node", "n", "given", "firm", "w", "u")])
     met = close.join(side("a"), ["block", "name_a"]).join(side("b"), ["block", "name_b"]).where("node_a <> node_b")
     rank = lambda s: F.struct(f"firm_{s}", f"w_{s}", f"n_{s}", f"node_{s}")

@@ -30,6 +30,30 @@ def test_radius_join_loses_nothing(spark, radius, cell, most):
     assert got == want
 
 
+@pytest.mark.parametrize(("slips", "cell"), [(1, 5), (2, 10), (3, 8), (3, 500)])
+def test_radius_join_finds_swaps(spark, slips, cell):
+    rng = random.Random(slips)
+    points = {("x", "".join(rng.choices("abcdefgh", k=rng.randrange(5, 10)))) for _ in range(40)}
+    for _, name in sorted(points):
+        for _ in range(4):
+            n = list(name)
+            for _ in range(slips):
+                i = rng.randrange(len(n) - 1)
+                n[i : i + 2] = rng.choice([n[i : i + 2][::-1], n[i : i + 2][::-1], [n[i], "k"], [n[i]]])
+            points.add(("x", "".join(n)))
+    join = names.radius_join(spark.createDataFrame(sorted(points), "block string, name string"), slips, cell, swaps=True).collect()
+    got = {(r.name_a, r.name_b) for r in join if names.edits(r.name_a, r.name_b, slips) <= slips}
+    want = {(a, b) for (_, a), (_, b) in combinations(sorted(points), 2) if names.edits(a, b, slips) <= slips}
+    assert got == want and any(levenshtein(a, b) > slips for a, b in want)
+    assert all(r.d == levenshtein(r.name_a, r.name_b) for r in join)
+
+
+def test_swaps_are_linked(spark):
+    rows = [(i, n, "x", "y") for i, n in enumerate(["Roderick Tarvolen", "Tarvolen, Rod", "R. Tarvolen", "Roderick Atrvoeln", "Roderick Atrvoelm", "Roderick Atvrolne"])]
+    assert all(levenshtein("tarvolen", n[9:].lower()) > 3 for _, n, *_ in rows[3:])
+    assert len({r.entity for r in names.entities(spark.createDataFrame(rows, AUTHORS), "id", "author").collect()}) == 1
+
+
 @pytest.mark.parametrize(
     ("name", "reading"),
     [
