@@ -205,7 +205,7 @@ def read(name: str | None) -> list[tuple[str, str, tuple[str, ...]]]:
     sure = [t for t in kind if len(t) > 3 or re.search(rf"\b{t}\.", flat) or t in ("dept", "inst")]
     if own and sure:
         words = sorted(set(kind.values()))
-        return [("o:" + "".join(sorted(w[0] for w in words)), max(own, key=len), (" ".join(words),))]
+        return [("o:" + "".join(sorted(w[0] for w in words)), " ".join(sorted(own)), (" ".join(words),))]
     tokens = re.findall(r"[^\W\d_]+", re.sub(r"\([^)]*\)", " ", flat).replace("'", "").replace("’", ""))
     comma = flat.find(",")
     if comma > 0:

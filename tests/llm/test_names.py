@@ -67,6 +67,9 @@ def test_swaps_are_linked(spark):
         ("Tarvolen Wiliam", [("w", "tarvolen", ("william",))]),
         ("Ted Tarvolen", [("e", "tarvolen", ("edward",)), ("t", "tarvolen", ("theodore",))]),
         ("Inst. of Hydrography, Tarvolen", [("o:hi", "tarvolen", ("hydrography institute",))]),
+        ("Royal Harbour Society", [("o:s", "harbour royal", ("society",))]),
+        ("Society, Harbour Royal", [("o:s", "harbour royal", ("society",))]),
+        ("Grand Harbour Society", [("o:s", "grand harbour", ("society",))]),
         ("The Tarvolen Presss", [("o:p", "tarvolen", ("press",))]),
         ("Tarvolen MT", [("m", "tarvolen", ()), ("o:mt", "tarvolen", ())]),
         ("Tarvolen", [("?", "tarvolen", ())]),
