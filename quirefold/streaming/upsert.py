@@ -10,12 +10,10 @@ from quirefold.schema import COLUMNS, DOC_SCHEMA
 
 
 def watch(spark: SparkSession, folder: str, store: DocumentStore, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Upsert every batch that arrives: newer filetimes win, paths that are not in a batch stay. The batch number is noted in
-    the version, so a batch that is delivered again after a failure is left out."""
+    """Upsert every batch that arrives: newer filetimes win, paths that are not in a batch stay. A batch writes its own rows
+    only. Its number is noted in the version, so a batch that is delivered again after a failure is left out."""
 
     def upsert(batch: DataFrame, number: int) -> None:
-        if store.table.latest().notes.get("batch", -1) >= number:
-            return
         store.update_some(newest(batch.select(*COLUMNS)).select(*COLUMNS), {"batch": number})
 
     stream = spark.readStream.schema(DOC_SCHEMA).parquet(folder).writeStream.foreachBatch(upsert)

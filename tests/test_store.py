@@ -85,6 +85,39 @@ def test_newest_and_stream(spark, tmp_path):
     assert sorted((r.path, r.title) for r in s.read().collect()) == [("a", "new"), ("b", "x")]
 
 
+def test_changes_write_what_changes_and_no_writer_is_lost(spark, tmp_path):
+    s = DocumentStore(spark, f"file://{tmp_path}/s")
+    s.put(frame(spark, [doc(i, f"p{i}", "old", T) for i in range(200)]))
+    before = set(s.table.latest().files)
+    s.update_some(frame(spark, [doc(900, "p3", "new", T + timedelta(1)), doc(901, "p4", "late", T - timedelta(1)), doc(902, "q", "Q", T)]))
+    added = set(s.table.latest().files) - before
+    assert before <= set(s.table.latest().files) and sum(spark.read.parquet(f"{s.table.root}/{f}").count() for f in added) == 2
+    rows = {r.path: (r.doc_id, r.title) for r in s.read().collect()}
+    assert len(rows) == 201 == s.read().count() and (rows["p3"], rows["p4"], rows["q"]) == ((3, "new"), (4, "old"), (902, "Q"))
+    # A put between the reading and the commit of an update.
+    commit, other = s.table.commit, DocumentStore(spark, s.table.root)
+
+    def late(*args, **kwargs):
+        s.table.commit = commit
+        other.put(frame(spark, [doc(903, "r", "R", T)]))
+        return commit(*args, **kwargs)
+
+    s.table.commit = late
+    s.update_some(frame(spark, [doc(904, "q", "Q2", T + timedelta(1))]))
+    rows = {r.path: r.title for r in s.read().collect()}
+    assert rows["r"] == "R" and rows["q"] == "Q2" and len(rows) == 202
+    # Two puts of one path.
+    s.table.commit = lambda *a, **k: (setattr(s.table, "commit", commit), other.put(frame(spark, [doc(905, "z", "1", T)])), commit(*a, **k))[2]
+    with pytest.raises(DuplicatePathError):
+        s.put(frame(spark, [doc(906, "z", "2", T)]))
+    s.update(frame(spark, [doc(907, "z", "3", T + timedelta(1))]))
+    assert [(r.doc_id, r.title) for r in s.read().collect()] == [(905, "3")]
+    files = lambda: sum(1 for _ in (tmp_path / "s").glob("data-*/*.parquet"))
+    had = files()
+    s.tidy(1, keep=1, grace=-5)
+    assert files() == 1 < had and s.read().count() == 1 and not s.table.latest().deletes
+
+
 # -- output ------------------------------------------------------------------------------------------------------------
 ONE = (1, "p/a.md", 'T "q"', datetime(2024, 3, 5, 6, 7, 8), None, "# H\n", None, ["A", "B"], ["x"], None)
 
