@@ -64,6 +64,9 @@ def session(args: argparse.Namespace):
     from pyspark.sql import SparkSession
 
     b = SparkSession.builder.appName("quirefold").config("spark.sql.session.timeZone", "UTC")
+    if "spark.checkpoint.dir" not in os.environ.get("PYSPARK_SUBMIT_ARGS", ""):
+        # The store lies where all executors reach it; so do its intermediate tables.
+        b = b.config("spark.checkpoint.dir", f"{uri(args.db)}/_scratch")
     if "spark.master" not in os.environ.get("PYSPARK_SUBMIT_ARGS", "") and not os.environ.get("SPARK_REMOTE"):
         b = b.master(f"local[{max(1, args.numWorkers or 1)}]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     spark = b.getOrCreate()

@@ -95,20 +95,22 @@ def orphans(links: DataFrame, notes: DataFrame, scans: DataFrame) -> DataFrame:
         .select(F.col("doc_id").cast("bigint").alias("doc_id"), "link", month_of(F.col("noted_at")).alias("noted_month"))
         .distinct()
     )
+    refs = materialize(refs, "refs")
     own = notes.select(F.col("id").cast("bigint").alias("doc_id"), F.col("path").alias("own_path")).where("doc_id IS NOT NULL")
-    # The side of the note: references AND-NOT notes, per month.
+    # The side of the note: references AND-NOT notes, per month. What is written has a size the planner knows: few orphans are
+    # broadcast, many are joined by shuffles.
     gone = decode(and_not(bitmap_words(refs, "doc_id", ["noted_month"]), bitmap_words(own, "doc_id")), "doc_id")
-    no_doc = skew_join(refs, gone.distinct(), ["doc_id", "noted_month"], "left_semi").select(
+    no_doc = among(refs, materialize(gone, "gone"), ["doc_id", "noted_month"]).select(
         "doc_id", "link", F.lit("doc").alias("lacking"), F.lit("missing").alias("fate"), "noted_month"
     )
-    # The side of the target: paths become integers, then the same.
+    # The side of the target: paths become integers, then the same. Each path and month goes in once.
     placed = skew_join(refs, own, ["doc_id"]).withColumn("target", target_path(F.col("link"), F.col("own_path")))
     placed = materialize(placed.where("target IS NOT NULL").drop("own_path"), "targets")
-    ids = dictionary(placed, "target", "target_id")
+    used = materialize(placed.select("target", "noted_month").distinct(), "used")
+    ids = dictionary(used, "target", "target_id")
     known = ids.join(notes.select(F.col("path").alias("target")).where("target IS NOT NULL"), "target", "left_semi")
     later = ids.join(scans.select(F.col("path").alias("target")).where("target IS NOT NULL").distinct(), "target", "left_semi")
-    coded = materialize(skew_join(placed, ids, ["target"]).drop("target"), "coded")
-    lost = and_not(bitmap_words(coded, "target_id", ["noted_month"]), bitmap_words(known, "target_id"))
+    lost = and_not(bitmap_words(used.join(ids, "target"), "target_id", ["noted_month"]), bitmap_words(known, "target_id"))
     late = bitmap_words(later, "target_id").select("key_range", F.col("word").alias("late_word"))
     split = lost.join(late, "key_range", "left").withColumn("late_word", F.coalesce("late_word", F.lit(0).cast("bigint")))
     fates = F.array(
@@ -116,13 +118,20 @@ def orphans(links: DataFrame, notes: DataFrame, scans: DataFrame) -> DataFrame:
         F.struct(F.lit("missing").alias("fate"), F.col("word").bitwiseAND(F.bitwise_not("late_word")).alias("word")),
     )
     words = split.select("noted_month", "key_range", F.inline(fates)).where("word <> 0")
-    dead = decode(words, "target_id")
-    no_target = skew_join(coded, dead, ["target_id", "noted_month"]).select(
+    dead = materialize(decode(words, "target_id").join(ids, "target_id").drop("target_id"), "dead")
+    no_target = among(placed, dead, ["target", "noted_month"]).select(
         "doc_id", "link", F.lit("target").alias("lacking"), "fate", "noted_month"
     )
     return no_doc.unionByName(no_target)
 
 
+def among(rows: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    """rows.join(few, on): an ordinary join if the planner will broadcast `few`, otherwise one that bears hot keys."""
+    limit = rows.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = int(str(few._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.join(few, on) if size <= limit else skew_join(rows, few, on)
+
+
 def by_month(found: DataFrame) -> DataFrame:
     """Orphans per side, fate and month."""
     return found.groupBy("lacking", "fate", "noted_month").agg(F.count("*").alias("n_orphans"))

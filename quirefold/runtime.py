@@ -14,8 +14,13 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+class NoSharedFolderError(RuntimeError):
+    """A cluster without a folder that all its executors reach."""
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor reaches: `spark.checkpoint.dir`, or a new local one where that is unset (tests)."""
+    """The folder every executor reaches: `spark.checkpoint.dir`. Where that is unset, one on the default file system of the
+    cluster, or with a local master (tests) a new local one; NoSharedFolderError if all that is left is a cluster's local disk."""
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir")
     if configured:
@@ -23,7 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
-    own = "file://" + tempfile.mkdtemp(prefix="quirefold-")
+    fs = context._jvm.org.apache.hadoop.fs.FileSystem.get(context._jsc.hadoopConfiguration())
+    if fs.getUri().getScheme() != "file":
+        own = f"{fs.getHomeDirectory()}/quirefold-{uuid.uuid4().hex}"
+    elif context.master.startswith("local"):
+        own = "file://" + tempfile.mkdtemp(prefix="quirefold-")
+    else:
+        raise NoSharedFolderError("set spark.checkpoint.dir to a folder that all executors reach")
     context.setCheckpointDir(own)
     return own
 

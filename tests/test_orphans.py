@@ -62,8 +62,37 @@ def test_bitmaps_round_trip_and_difference(spark):
 def test_skew_join_equals_join(spark):
     left = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 7 = 0 THEN NULL ELSE id END AS k", "id AS x")
     right = spark.range(0, 3000, 7).selectExpr("id AS k", "id * 2 AS y")
-    assert 7 in hot_keys(left, "k")
+    h = spark.sql("SELECT xxhash64(7L)").first()[0]
+    shares = hot_keys(left, "k", 1 / 16)
+    assert set(shares) == {h, None} and abs(shares[h] - 1 / 3) < 0.01 and abs(shares[None] - 2 / 21) < 0.01
     for how in ("inner", "left", "left_semi", "left_anti"):
         want = sorted(map(tuple, left.join(right, ["k"], how).collect()), key=repr)
-        assert sorted(map(tuple, skew_join(left, right, ["k"], how).collect()), key=repr) == want
+        for support in (None, 1 / 100, 0.9):
+            assert sorted(map(tuple, skew_join(left, right, ["k"], how, support).collect()), key=repr) == want
     assert skew_join(left.limit(0), right, ["k"]).count() == 0
+    assert skew_join(left, right.select(F.col("k").cast("int"), "y"), ["k"], support=0.01).count() == skew_join(left, right, ["k"]).count()
+
+
+def test_a_hot_key_is_spread_by_its_share(spark):
+    """Of 24,000 rows a third have one key: no task of the join gets more than a few shares."""
+    left = spark.range(24_000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS k", "id AS x")
+    right = spark.range(24_000).selectExpr("id AS k", "id AS y")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        most = lambda df: df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert most(left.join(right, "k")) > 9_000 and most(skew_join(left, right, ["k"], support=1 / 64)) < 8_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_an_orphan_side_too_large_to_broadcast(spark):
+    links = spark.createDataFrame([(1, "a.md", T, ""), (2, "b.md", None, ""), (1, "n.md", T, "")], LINKS)
+    notes, scans = spark.createDataFrame([(1, "a.md")], "id bigint, path string"), spark.createDataFrame([], "path string")
+    few = sorted(map(tuple, orphans.orphans(links, notes, scans).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(tuple, orphans.orphans(links, notes, scans).collect())) == few and len(few) == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
