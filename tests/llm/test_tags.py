@@ -3,9 +3,12 @@ import unicodedata
 from collections import Counter
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quirefold.llm import cooccurrence, terms, text
+from quirefold.runtime import materialize
 
 ROWS = "item string, basket bigint, name string, n bigint, a bigint"
 
@@ -31,6 +34,16 @@ def test_pairs_equal_brute_force(spark, chunk, least, lift):
     assert got == {(a, b): (c, one[a], one[b]) for (a, b), c in two.items() if c >= least and c * n / (one[a] * one[b]) >= lift}
 
 
+def test_a_basket_of_a_thousand_items(spark):
+    """More items than a chunk of the size the queries use: its pairs come from the products of chunks."""
+    rows = [(f"i{k}", 1, "x", 1, 1) for k in range(1000)] + [(f"i{k}", 2, "x", 1, 1) for k in range(0, 1000, 7)]
+    uses = spark.createDataFrame(rows, ROWS)
+    cut = cooccurrence.chunks(uses.selectExpr("basket", "item"), 128)
+    assert cut.where("k > 1").count() == 8 + 2 and cut.where(F.size("items") > 200).isEmpty()
+    got = cooccurrence.cooccurrence(uses, "basket", "item")
+    assert got.count() == 1000 * 999 // 2 and got.where("n_ab = 2").count() == 143 * 142 // 2
+
+
 def test_pairs_of_nothing(spark):
     df = spark.createDataFrame([], ROWS)
     assert cooccurrence.cooccurrence(df, "basket", "item").collect() == []
@@ -62,6 +75,31 @@ def test_routes_open_heavy_prefixes():
     assert [terms.route_of(t, heavy) for t in ("b", "abc", "abcd", "ab", "")] == ["b", "abc", "abc", None, None]
 
 
+@pytest.mark.parametrize("shared", ["", "https://notes.example/" + "x" * 80 + "/"])
+def test_many_terms_in_tries_that_never_burst_take_several_routes(spark, shared):
+    """12,000 distinct terms, no task with more than 4,096, routes of at most 1,000."""
+    rows = spark.range(0, 12_000, 1, 8).selectExpr(f"concat('{shared}', hex(id * 7919)) AS term", "id AS record", "1L AS n_rows")
+    leaves = materialize(terms.local_tries(rows, 4096, 10**6), "test")
+    assert {r.prefix for r in leaves.collect()} == {""}  # nothing has burst
+    heavy = terms.heavy_prefixes(leaves, 1000)
+    sizes = Counter()
+    for r in terms.routed(leaves, heavy).collect():
+        sizes[r.route] += len(r.suffixes)
+    assert sum(sizes.values()) == 12_000 and max(sizes.values()) <= 1000 and len(sizes) > 12
+    got = terms.merged(terms.routed(leaves, heavy), 4096)
+    tasks = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 1 and got.count() == got.distinct().count() == 12_000 and got.where("n_rows <> 1 OR n_records <> 1").isEmpty()
+
+
+def test_prefix_weights_equal_brute_force():
+    rng = random.Random(8)
+    names = ["".join(rng.choices("abé😀", k=rng.randrange(7))) for _ in range(300)] + ["a" * 90] * 9
+    for least in (1, 5, 40):
+        got = dict(terms.prefix_weights(pa.array(names, pa.large_string()), least, 10))
+        want = Counter(n[:i] for n in names for i in range(min(len(n), 10) + 1))
+        assert got == {p: c for p, c in want.items() if c >= least}
+
+
 def test_tag_form():
     for raw, form in [
         (" #Two  Words\t", "two words"), ("##x", "x"), ("# x", "x"), ("é", "é"), ("É", "é"), ("a#b", "a#b"), ("", ""), (None, None),
