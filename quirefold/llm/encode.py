@@ -3,7 +3,7 @@
 Texts are cut into pre-tokens in the JVM. Each task packs its documents into blocks: the distinct pre-tokens of the block, and
 per document the positions as codes into them. Only the distinct words of blocks are shuffled; each distinct word of the
 corpus is encoded once, its ids are joined back to the blocks, and every document is put together again by position. No word,
-however frequent, stands in a block twice, so hot words do not gather.
+however frequent, stands in a block twice, so hot words do not gather; where blocks have few words, skew_join spreads them.
 
 Decoding joins the table of token bytes. Defined results: null and empty texts have the empty list; text that looks like a
 special token is plain text; texts of any length are encoded whole (a long text makes a block of its own); repeated rows are
@@ -14,15 +14,17 @@ from __future__ import annotations
 
 import base64
 import math
-import secrets
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirefold.operators.skew import skew_join
 from quirefold.runtime import materialize, spread
 
 TOKENIZERS = "/opt/tokenizers"
@@ -57,9 +59,9 @@ def rank_file(name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> bytes:
 
 
 def blocks(df: DataFrame, id_col: str, text_col: str, block_words: int = 1_000_000, pattern: str = PATTERN) -> DataFrame:
-    """BLOCKS of at most about `block_words` pre-tokens (or one document)."""
+    """BLOCKS of at most about `block_words` pre-tokens (or one document), numbered by task and place within it."""
 
-    def pack(ids: pa.Array, lists: pa.Array) -> Iterator[pa.RecordBatch]:
+    def pack(ids: pa.Array, lists: pa.Array, number: Iterator[int]) -> Iterator[pa.RecordBatch]:
         sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         group = (np.cumsum(sizes) - sizes) // block_words
         cuts = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(sizes))
@@ -68,7 +70,7 @@ def blocks(df: DataFrame, id_col: str, text_col: str, block_words: int = 1_000_0
             one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([secrets.randbits(62)], pa.int64()),
+                    pa.array([next(number)], pa.int64()),
                     one(ids.slice(a, b - a), pa.int64()),
                     one(pa.array(sizes[a:b]), pa.int32()),
                     pa.array([part.indices.to_numpy().astype("<u2" if len(part.dictionary) <= 65536 else "<u4").tobytes()], pa.binary()),
@@ -78,28 +80,31 @@ def blocks(df: DataFrame, id_col: str, text_col: str, block_words: int = 1_000_0
             )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = count(TaskContext.get().partitionId() << 40)
         for batch in batches:
             if batch.num_rows:
-                yield from pack(batch.column(0), batch.column(1))
-
-    cut = F.regexp_extract_all(F.col(text_col), F.lit(java_pattern(pattern)), F.lit(0))
-    # Characters that this Java does not know yet: their texts are cut by the tokenizer's own library.
-    newer = F.col(text_col).rlike(r"\p{Cn}")
+                ids, lists, odd = batch.columns
+                if odd.null_count < len(odd):
+                    pieces, last = [], 0
+                    for at in np.flatnonzero(odd.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                        pieces += [lists.slice(last, at - last), pa.array([cut_here(odd[at].as_py(), pattern)], lists.type)]
+                        last = at + 1
+                    lists = pa.concat_arrays([*pieces, lists.slice(last)])
+                yield from pack(ids, lists, number)
+
+    # Characters that this Java does not know yet: their texts, and no others, are cut by the tokenizer's own library.
+    text, newer = F.col(text_col), F.col(text_col).rlike(r"\p{Cn}")
+    cut = F.when(~newer, F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0)))
     rows = spread(df.select(id_col, text_col))
-    source = rows.select(F.col(id_col).cast("bigint").alias("i"), F.when(newer, _cut(F.col(text_col))).otherwise(cut).alias("w"))
+    source = rows.select(F.col(id_col).cast("bigint").alias("i"), cut.alias("w"), F.when(newer, text).alias("t"))
     return source.mapInArrow(work, BLOCKS)
 
 
-def _cut(text):
-    from pyspark.sql.types import ArrayType, StringType
-
-    @F.udf(ArrayType(StringType()), useArrow=True)
-    def cut(t: str | None) -> list[str] | None:
-        import regex
-
-        return regex.findall(PATTERN, t) if t else None
+def cut_here(text: str, pattern: str = PATTERN) -> list[str]:
+    """The pre-tokens of one text, by the library the tokenizers use."""
+    import regex
 
-    return cut(text)
+    return regex.findall(pattern, text)
 
 
 def encode_words(words: DataFrame, content: bytes, pattern: str = PATTERN) -> DataFrame:
@@ -152,7 +157,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, name: str = "byte_bpe_50k"
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(packed.select("block").count() / 8))
     placed = packed.select("block", F.posexplode("words").alias("pos", "word"))
     vocabulary = encode_words(placed.select("word").distinct(), rank_file(name, folder))
-    joined = placed.join(vocabulary, "word").groupBy("block").agg(F.collect_list(F.struct("pos", "ids")).alias("entries"))
+    joined = skew_join(placed, vocabulary, ["word"]).groupBy("block").agg(F.collect_list(F.struct("pos", "ids")).alias("entries"))
     whole = packed.select("block", "docs", "sizes", "codes").repartition(parts, "block").join(joined, "block", "left")
     return whole.select("docs", "sizes", "codes", "entries").mapInArrow(_assemble, "doc_id bigint, ids array<int>")
 
