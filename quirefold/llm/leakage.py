@@ -9,71 +9,105 @@ Retrieval goes in the order of block-max WAND, over all passages of a batch at o
 terms must add up to 1; (2) its terms' block maxima must add up to 1 in a block of items; (3) within such blocks the score is
 computed. Retrieved pairs are verified word by word.
 
-The items of one pass are broadcast. A pass takes at most `shard_bytes` of item text; more items are divided over several
-passes. Defined results: null ids and null, empty or short texts (fewer than `run` words) give no pair; repeated rows of
+The index is made of arrays and hashes of runs, at most INDEX_BYTES for each word of the items beside their distinct words. Items
+are divided into shards of about `shard_bytes` of text, whose indexes are built by tasks, so a broadcast has a bounded size. With
+several shards the corpus is still read once: the greatest impacts a term has in each shard are the first level of block maxima;
+a text goes to the shards where one of its passages can reach the threshold, and each shard then reads its own texts only.
+
+Defined results: null ids and null, empty or short texts (fewer than `run` words) give no pair; repeated rows of
 either side give one pair; empty tables give an empty result; texts of any length are read whole; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm.text import word_codes, words
-from quirefold.runtime import spread
+from quirefold.runtime import materialize, scratch_path, spread
 
 PAIRS = "doc_id bigint, item_id bigint, start bigint, n_words bigint, item_start bigint, covered array<struct<first: bigint, end: bigint>>"
 RANGES = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
 
+#: What a word of the items takes in an index at most: its code, its run, its posting, its block, its bound.
+INDEX_BYTES = 4 + 16 + 12 + 16 + 16
+
+
+def run_hashes(codes: np.ndarray, run: int) -> np.ndarray:
+    """A hash of the `run` codes from each place on (equal runs have equal hashes; the words are compared afterwards)."""
+    n = max(0, len(codes) - run + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(run):
+        h = (h ^ codes[k : k + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
 class ItemIndex:
-    """BM25 postings of the items, in blocks of items with their maxima, and the items' words for verification."""
+    """BM25 postings of the items, in blocks of items with their maxima, and the items' words for verification: flat arrays."""
 
     def __init__(self, items: list[tuple[int, str]], run: int = 8, block: int = 16, k1: float = 1.2, b: float = 0.75) -> None:
-        texts = [(i, w) for i, t in sorted(items) if len(w := words(t)) >= run]
-        self.run, self.block = run, block
-        self.ids = [i for i, _ in texts]
-        self.terms = {t: n for n, t in enumerate(sorted({x for _, w in texts for x in w}))}
-        coded = [np.array([self.terms[x] for x in w], np.int64) for _, w in texts]
-        count = len(coded)
-        df = np.zeros(len(self.terms), np.int64)
-        for c in coded:
-            df[np.unique(c)] += 1
+        ids = [i for i, _ in sorted(items)]
+        codes, offsets, terms = word_codes([t for _, t in sorted(items)])
+        long = np.flatnonzero(np.diff(offsets) >= run)
+        at, which = ranges(offsets[long], offsets[long + 1])
+        used, codes = np.unique(codes[at], return_inverse=True)
+        self.run, self.ids = run, [ids[i] for i in long.tolist()]
+        self.terms = terms.take(pa.array(used)).cast(pa.large_string())
+        self.coded = codes.astype(np.int32)
+        sizes = np.diff(offsets)[long]
+        self.offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        count, n_terms = len(self.ids), len(used)
+        # One posting for each term of each item, ordered by term.
+        key, tf = np.unique(codes * max(count, 1) + which, return_counts=True)
+        term, item = key // max(count, 1), key % max(count, 1)
+        df = np.bincount(term, minlength=n_terms)
         idf = np.log1p((count - df + 0.5) / (df + 0.5))
-        mean = sum(map(len, coded)) / count if count else 1.0
-        postings: list[tuple[int, int, float]] = []
-        self.runs: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)  # run of terms: items and places
-        for n, c in enumerate(coded):
-            terms, tf = np.unique(c, return_counts=True)
-            weight = idf[terms] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(c) / mean))
-            of = dict(zip(terms.tolist(), weight.tolist(), strict=True))
-            grams = [tuple(c[i : i + run].tolist()) for i in range(len(c) - run + 1)]
-            least = min(math.fsum(of[t] for t in set(g)) for g in grams) * (1 - 1e-9)  # for rounding
-            for i, g in enumerate(grams):
-                self.runs[g].append((n, i))
-            postings += [(t, n, w / least) for t, w in of.items()]
-        self.coded = coded
-        postings.sort()
-        p = np.array(postings, dtype=[("t", "i8"), ("n", "i8"), ("w", "f8")]) if postings else np.zeros(0, [("t", "i8"), ("n", "i8"), ("w", "f8")])
-        self.post_item, self.post_impact = p["n"].copy(), p["w"].copy()
+        mean = sizes.mean() if count else 1.0
+        weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[item] / mean))
+        # Each item's least score of a run: a term that stands in a run twice counts once.
+        inside = np.ones(max(0, len(codes) - run + 1), bool)
+        for end in self.offsets[1:-1]:
+            inside[max(0, int(end) - run + 1) : int(end)] = False
+        first = np.flatnonzero(inside)
+        own = weight[np.searchsorted(key, codes * max(count, 1) + which)]
+        score = np.zeros(len(first))
+        for k in range(run):
+            seen = np.zeros(len(first), bool)
+            for j in range(k):
+                seen |= codes[first + j] == codes[first + k]
+            score += np.where(seen, 0.0, own[first + k])
+        least = np.full(count, np.inf)
+        np.minimum.at(least, which[first], score)
+        impact = weight / (least[item] * (1 - 1e-9)) if count else weight  # for rounding
+        self.post_item, self.post_impact = item.astype(np.int32), impact
         # Blocks: runs of postings of one term whose items share a block.
-        new = np.ones(len(p), bool)
-        new[1:] = (p["t"][1:] != p["t"][:-1]) | (p["n"][1:] // block != p["n"][:-1] // block)
-        at = np.flatnonzero(new)
-        self.block_start = np.append(at, len(p))
-        self.block_no = p["n"][at] // block
-        self.block_max = np.maximum.reduceat(p["w"], at) if len(p) else np.zeros(0)
-        self.term_blocks = np.searchsorted(p["t"][at], np.arange(len(self.terms) + 1))
-        self.bound = np.zeros(len(self.terms) + 1)  # the last is for words that no item has
-        if len(p):
-            np.maximum.at(self.bound, p["t"], p["w"])
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (item[1:] // block != item[:-1] // block)
+        starts = np.flatnonzero(new)
+        self.block_start = np.append(starts, len(term)).astype(np.int32)
+        self.block_no = (item[starts] // block).astype(np.int32)
+        self.block_max = np.maximum.reduceat(impact, starts) if len(term) else np.zeros(0)
+        self.term_blocks = np.searchsorted(term[starts], np.arange(n_terms + 1)).astype(np.int32)
+        self.bound = np.zeros(n_terms + 1)  # the last is for words that no item has
+        np.maximum.at(self.bound, term, impact)
+        # The items' runs by hash.
+        h = run_hashes(codes, run)[first]
+        order = np.argsort(h, kind="stable")
+        self.run_hash, self.run_item = h[order], which[first][order].astype(np.int32)
+        self.run_at = (first - self.offsets[which[first]])[order].astype(np.int32)
+
+    def nbytes(self) -> int:
+        return sum(v.nbytes for v in vars(self).values() if isinstance(v, np.ndarray)) + self.terms.nbytes
 
 
 def ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +165,7 @@ def _passages(offsets: np.ndarray, window: int, run: int) -> tuple[np.ndarray, n
     return text, start, np.minimum(start + window, offsets[text + 1])
 
 
-def leaks(docs: DataFrame, items: DataFrame, run: int = 8, window: int = 32, shard_bytes: int = 32_000_000) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, run: int = 8, window: int = 32, shard_bytes: int = 16_000_000) -> DataFrame:
     """(doc_id, item_id, start, n_words, item_start, covered): documents and items that share at least `run` consecutive words,
     with the length of the longest run they share, its place in the words of both, and the item's words in all runs they share
     (ranges that may overlap). docs: doc_id, text. items: item_id, text."""
@@ -139,68 +173,137 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = 8, window: int = 32, sha
     clean = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
     volume = clean.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(volume / shard_bytes))
-    out = None
-    for s in range(shards):
-        part = clean.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == s)
-        index = spark.sparkContext.broadcast(ItemIndex([tuple(r) for r in part.collect()], run))
-        found = _pass(docs, index, window)
-        out = found if out is None else out.unionByName(found)
+    source = docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''").select(F.col("doc_id").cast("bigint").alias("i"), F.col("text").alias("t"))
+    source = spread(source)
+    indexes = shard_indexes(clean, shards, run)
+    if shards == 1:
+        out = _pass(source, spark.sparkContext.broadcast(_load(indexes, 0)), window)
+    else:
+        out = None
+        for s, mine in route(source, indexes, shards, run, window):
+            found = _pass(mine, spark.sparkContext.broadcast(_load(indexes, s)), window)
+            out = found if out is None else out.unionByName(found)
     best = F.max_by(F.struct("start", "n_words", "item_start"), F.struct("n_words", -F.col("start"), -F.col("item_start"))).alias("m")
     covered = F.array_distinct(F.flatten(F.collect_set("covered"))).alias("covered")  # rows of one id and text have equal ranges
     return out.groupBy("doc_id", "item_id").agg(best, covered).select("doc_id", "item_id", "m.*", "covered")
 
 
-def _pass(docs: DataFrame, shared, window: int) -> DataFrame:
+def shard_indexes(items: DataFrame, shards: int, run: int) -> DataFrame:
+    """(shard, blob): the pickled index of each shard, built by tasks and written."""
+
+    def build(frame: pd.DataFrame) -> pd.DataFrame:
+        index = ItemIndex(list(zip(frame["item_id"].tolist(), frame["text"].tolist(), strict=True)), run)
+        return pd.DataFrame({"shard": [int(frame["shard"].iloc[0])], "blob": [pickle.dumps(index, pickle.HIGHEST_PROTOCOL)]})
+
+    placed = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int"))
+    return materialize(placed.groupBy("shard").applyInPandas(build, "shard int, blob binary"), "indexes")
+
+
+def _load(indexes: DataFrame, shard: int) -> ItemIndex:
+    row = indexes.where(F.col("shard") == shard).select("blob").first()
+    return pickle.loads(row["blob"]) if row else ItemIndex([])
+
+
+def route(source: DataFrame, indexes: DataFrame, shards: int, run: int, window: int, table_bytes: int = 256_000_000) -> Iterator[tuple[int, DataFrame]]:
+    """(shard, texts) of the texts with a passage that can reach the threshold in the shard, judged by the terms' greatest impacts
+    there. One reading of the corpus serves as many shards as have `table_bytes` of greatest impacts together."""
+    spark = source.sparkSession
+    group: list[tuple[int, pa.Array, np.ndarray]] = []
+    held = 0
+    for s in range(shards):
+        index = _load(indexes, s)
+        group.append((s, index.terms, index.bound))
+        held += index.terms.nbytes + index.bound.nbytes
+        if held < table_bytes and s + 1 < shards:
+            continue
+        shared = spark.sparkContext.broadcast(group)
+
+        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                codes, offsets, names = word_codes(batch.column(1).to_pylist())
+                text, start, end = _passages(offsets, window, run)
+                for shard, terms, bound in shared.value:
+                    total = np.concatenate([[0.0], np.cumsum(bound[_known(names, terms)[codes]])])
+                    hit = pa.array(np.unique(text[total[end] - total[start] >= 1 - 1e-6]), pa.int64())
+                    if len(hit):
+                        columns = [pa.array([shard] * len(hit), pa.int32()), *[c.take(hit) for c in batch.columns]]
+                        yield pa.RecordBatch.from_arrays(columns, names=["shard", "i", "t"])
+
+        path = scratch_path(spark, "routed")
+        source.mapInArrow(work, "shard int, i bigint, t string").write.partitionBy("shard").parquet(path)
+        routed = spark.read.schema("i bigint, t string, shard int").parquet(path)
+        for shard, _, _ in group:
+            yield shard, routed.where(F.col("shard") == shard).select("i", "t")
+        group, held = [], 0
+
+
+def _known(words_here: pa.Array, terms: pa.Array) -> np.ndarray:
+    """The number of each word among the terms, their count for other words."""
+    return pc.fill_null(pc.index_in(words_here, terms), len(terms)).to_numpy().astype(np.int64)
+
+
+def _pass(source: DataFrame, shared, window: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: ItemIndex = shared.value
-        run, vocabulary = index.run, pa.array(list(index.terms), pa.large_string())
         for batch in batches:
             if not index.ids:
                 continue
             codes, offsets, words_here = word_codes(batch.column(1).to_pylist())
             if not len(codes):
                 continue
-            of = pc.fill_null(pc.index_in(words_here, vocabulary), len(index.terms)).to_numpy().astype(np.int64)
-            terms = of[codes]
-            text, start, end = _passages(offsets, window, run)
+            terms = _known(words_here, index.terms)[codes]
+            text, start, end = _passages(offsets, window, index.run)
             passage, item = retrieve(index, terms, start, end)
-            rows: dict[tuple[int, int], tuple[int, int, int, set[tuple[int, int]]]] = {}
-            for p, i in zip(passage.tolist(), item.tolist(), strict=True):
-                verify(index, terms, int(offsets[text[p]]), int(offsets[text[p] + 1]), int(start[p]), int(end[p]), i, int(text[p]), rows)
-            ids = batch.column(0)
+            rows = verify(index, terms, offsets, text[passage], start[passage], end[passage], item)
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.take(pa.array([t for t, _ in rows], pa.int64())),
-                    pa.array([index.ids[i] for _, i in rows], pa.int64()),
-                    *[pa.array([r[k] for r in rows.values()], pa.int64()) for k in range(3)],
-                    pa.array([[{"first": k, "end": m} for k, m in sorted(r[3])] for r in rows.values()], RANGES),
+                    batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())),
+                    pa.array([index.ids[r[1]] for r in rows], pa.int64()),
+                    *[pa.array([r[k] for r in rows], pa.int64()) for k in range(2, 5)],
+                    pa.array([[{"first": k, "end": m} for k, m in r[5]] for r in rows], RANGES),
                 ],
                 names=["doc_id", "item_id", "start", "n_words", "item_start", "covered"],
             )
 
-    source = docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    return spread(source.select(F.col("doc_id").cast("bigint").alias("i"), F.col("text").alias("t"))).mapInArrow(work, PAIRS)
-
-
-def verify(index: ItemIndex, terms: np.ndarray, first: int, last: int, start: int, end: int, item: int, text: int, rows: dict) -> None:
-    """Compare one passage with one item; the longest shared run of at least index.run words goes to rows[text, item],
-    with the ranges of the item's words in all such runs."""
-    run, own = index.run, index.coded[item]
-    here = terms[start:end].tolist()
-    for i in range(len(here) - run + 1):
-        for n, j in index.runs.get(tuple(here[i : i + run]), ()):
-            if n == item:
-                a, k = start + i, j  # the run is followed beyond the passage, both ways
-                while a > first and k > 0 and terms[a - 1] == own[k - 1]:
-                    a, k = a - 1, k - 1
-                b, m = start + i + run, j + run
-                while b < last and m < len(own) and terms[b] == own[m]:
-                    b, m = b + 1, m + 1
-                old = rows.get((text, item))
-                covered = old[3] if old else set()
-                covered.add((k, m))
-                if old is None or b - a > old[1]:
-                    rows[text, item] = (a - first, b - a, k, covered)
+    return source.mapInArrow(work, PAIRS)
+
+
+def verify(index: ItemIndex, terms: np.ndarray, offsets: np.ndarray, text: np.ndarray, start: np.ndarray, end: np.ndarray, item: np.ndarray) -> list[tuple]:
+    """(text, item, start, n_words, item_start, covered) of the retrieved passages terms[start[i]:end[i]] whose words hold a run of
+    the item, one for each text and item: the longest shared run, and the ranges of the item's words in all shared runs."""
+    run = index.run
+    at, of = ranges(start, end - run + 1)
+    if not len(at):
+        return []
+    places, back = np.unique(at, return_inverse=True)
+    spans = terms[places[:, None] + np.arange(run)]
+    h = np.zeros(len(places), np.uint64)
+    for k in range(run):
+        h = (h ^ spans[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    low, high = np.searchsorted(index.run_hash, h, "left"), np.searchsorted(index.run_hash, h, "right")
+    entry, pos = ranges(low[back], high[back])
+    keep = index.run_item[entry] == item[of[pos]]
+    entry, pos = entry[keep], pos[keep]
+    here, its = at[pos], index.offsets[index.run_item[entry]] + index.run_at[entry]
+    same = (terms[here[:, None] + np.arange(run)] == index.coded[its[:, None] + np.arange(run)]).all(axis=1)
+    entry, here, owner = entry[same], here[same], text[of[pos[same]]]
+    # Places of one text, item and distance that follow each other are one shared run.
+    found = np.unique(np.stack([owner, index.run_item[entry], here - index.run_at[entry], here], axis=1), axis=0)
+    if not len(found):
+        return []
+    joined = (np.diff(found[:, :3], axis=0) == 0).all(axis=1) & (np.diff(found[:, 3]) == 1)
+    first = np.flatnonzero(np.concatenate([[True], ~joined]))
+    last = np.append(first[1:], len(found)) - 1
+    rows: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    for a, b in zip(found[first].tolist(), found[last, 3].tolist(), strict=True):
+        n = b - a[3] + run
+        rows.setdefault((a[0], a[1]), []).append((n, a[3] - int(offsets[a[0]]), a[3] - a[2]))
+    out = []
+    for (t, i), runs in rows.items():
+        n, s, k = min(runs, key=lambda r: (-r[0], r[1], r[2]))
+        out.append((t, i, s, n, k, sorted({(r[2], r[2] + r[0]) for r in runs})))
+    return out
 
 
 def _covered(first, end):
