@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm import cooccurrence, encode, leakage, names, repetition, terms, text
-from quirefold.runtime import table
+from quirefold.runtime import scratch_path, table
 
 
 def _uses(spark: SparkSession, d: str) -> DataFrame:
@@ -66,21 +66,24 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
-def p9_ledger(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.ledger(repetition.measure(table(spark, d, "documents"), "doc_id", "text"))
+def p9_ledger(spark: SparkSession, d: str) -> repetition.Ledger:
+    """Every document measured once and stored."""
+    book = repetition.Ledger(spark, scratch_path(spark, "ledger"))
+    book.record(table(spark, d, "documents"), "doc_id", "text")
+    return book
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """Words and repeated share of every document."""
-    return p9_ledger(spark, d).select("doc_id", "n_words", F.round("run_share", 6).alias("run_share"))
+    return p9_ledger(spark, d).rows().select("doc_id", "n_words", F.round("run_share", 6).alias("run_share"))
 
 
 def p9_ablations(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.ablations(p9_ledger(spark, d))
+    return p9_ledger(spark, d).ablations()
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return p9_ledger(spark, d).where(repetition.taken(repetition.POLICIES[0], F.col("bits"))).select("doc_id")
+    return p9_ledger(spark, d).take(repetition.POLICIES[0])
 
 
 USES_SQL = r"""
@@ -133,6 +136,55 @@ SELECT doc_id, coalesce(len(w), 0) AS n_words, round(coalesce(hit.n, 0) / greate
 FROM documents LEFT JOIN d USING (doc_id) LEFT JOIN hit USING (doc_id)
 """
 
+# Parts of texts that stand earlier in the text. What counts as the end of a line, and as blank around a part, is spelt out.
+_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+_BLANK = r"[\s\p{Z}\x0B\x1C-\x1F\x{85}]"
+
+
+def _part_share_sql(name: str, ends: str) -> str:
+    return rf"""
+{name}_parts AS (
+  SELECT doc_id, k, regexp_replace(part, '^{_BLANK}+|{_BLANK}+$', '', 'g') AS part FROM (
+    SELECT doc_id, unnest(range(1, len(p) + 1)) AS k, unnest(p) AS part FROM (SELECT doc_id, regexp_split_to_array(text, '{ends}') AS p FROM documents WHERE text IS NOT NULL))),
+{name} AS (
+  SELECT doc_id, sum(CASE WHEN r > 1 THEN length(part) ELSE 0 END) / sum(length(part)) AS {name}_share FROM (
+    SELECT doc_id, part, row_number() OVER (PARTITION BY doc_id, part ORDER BY k) AS r FROM {name}_parts WHERE part <> '') GROUP BY doc_id)"""
+
+
+P9_ABLATIONS_SQL = rf"""
+WITH measured AS ({P9_SQL}),
+{_part_share_sql("line", _ENDS)},
+{_part_share_sql("paragraph", r"\n[ \t\r]*\n")},
+bits AS (
+  SELECT n_words < 20 AS short, n_words > 0 AND 10 * n_again >= 3 * n_words AS runs, coalesce(line_share >= 0.3, FALSE) AS lines, coalesce(paragraph_share >= 0.3, FALSE) AS paragraphs
+  FROM measured LEFT JOIN line USING (doc_id) LEFT JOIN paragraph USING (doc_id)),
+cases AS (SELECT unnest(['none', 'short', 'runs', 'lines', 'paragraphs']) AS w)
+SELECT '1' AS policy, w AS without_rule, count(*) FILTER (w <> 'runs' AND runs AND (w = 'short' OR NOT short)) AS n_docs FROM bits, cases GROUP BY w
+UNION ALL
+SELECT '2', w, count(*) FILTER (((w <> 'runs' AND runs) OR (w <> 'lines' AND lines) OR (w <> 'paragraphs' AND paragraphs)) AND (w = 'short' OR NOT short)) FROM bits, cases GROUP BY w
+"""
+
+P8_OVERLAP_SQL = rf"""
+WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, {WORDS_SQL} AS w, text FROM eval_items WHERE text IS NOT NULL),
+asked AS (SELECT item_id, {WORDS_SQL.replace('(text,', '(asked,', 1)} AS q FROM (SELECT item_id, CASE WHEN contains(text, '?') THEN regexp_extract(text, '^(?s:.*)\?') ELSE text END AS asked FROM i)),
+dg AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS a, unnest([array_to_string(w[k:k+7], ' ') for k in range(1, len(w) - 6)]) AS g FROM d WHERE len(w) >= 8),
+ig AS (SELECT item_id, unnest(range(1, len(w) - 6)) AS b, unnest([array_to_string(w[k:k+7], ' ') for k in range(1, len(w) - 6)]) AS g FROM i WHERE len(w) >= 8),
+met AS (SELECT doc_id, item_id, a, b FROM dg JOIN ig USING (g)),
+longest AS (
+  SELECT doc_id, item_id, max(n) + 7 AS n_words FROM (
+    SELECT doc_id, item_id, count(*) AS n FROM (
+      SELECT *, a - row_number() OVER (PARTITION BY doc_id, item_id, a - b ORDER BY a) AS island FROM met) GROUP BY doc_id, item_id, a - b, island)
+  GROUP BY doc_id, item_id),
+hit AS (SELECT DISTINCT doc_id, item_id, p FROM (SELECT doc_id, item_id, unnest(range(b, b + 8)) AS p FROM met)),
+counted AS (
+  SELECT doc_id, item_id, count(*) AS n, count(*) FILTER (p <= len(q)) AS n_asked FROM hit JOIN asked USING (item_id) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_words, len(w) AS n_item_words, round(n / len(w), 6) AS share,
+  CASE WHEN len(q) > 0 THEN round(n_asked / len(q), 6) END AS question_share,
+  CASE WHEN len(w) > len(q) THEN round((n - n_asked) / (len(w) - len(q)), 6) END AS answer_share
+FROM longest JOIN counted USING (doc_id, item_id) JOIN i USING (item_id) JOIN asked USING (item_id)
+"""
+
 QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_terms, p6_found, p6_entities, p7_ids, p7_decoded, p8_found, p8_overlap, p9_found, p9_shares, p9_ablations)}
 
 ORACLES = {
@@ -142,6 +194,8 @@ ORACLES = {
     "p3_terms": P3_SQL,
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p8_found": P8_SQL,
+    "p8_overlap": P8_OVERLAP_SQL,
+    "p9_ablations": P9_ABLATIONS_SQL,
     "p9_found": f"SELECT doc_id FROM ({P9_SQL}) WHERE n_words >= 20 AND 10 * n_again >= 3 * n_words",
     "p9_shares": f"SELECT doc_id, n_words, run_share FROM ({P9_SQL})",
 }

@@ -1,8 +1,9 @@
 """Repetition inside a document, as a ledger of rule bits.
 
 Every document gets one ledger row: the measurements of all rules and an integer with the bit of each rule it fails. A
-policy is a version of which bits count and which exempt; policies are applied, compared and ablated by bitwise operations
-on the ledger, without reading a text again.
+policy is a version of which bits count and which exempt. A Ledger is a stored table of immutable versions: texts are measured
+once, when their rows are recorded; policies are applied, compared and ablated by bitwise operations on what is stored, without
+reading a text again.
 
 Measured are the words (see text.words), the share of words that lie in a run of `run` words that also starts earlier in
 the same text, and the share of characters in lines and in paragraphs that stand earlier in the text.
@@ -19,13 +20,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm.text import word_codes
+from quirefold.operators.changes import Manifest, VersionedTable
 from quirefold.runtime import spread
 
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
+LEDGER = "doc_id bigint, n_words bigint, run_share double, line_share double, paragraph_share double, bits int"
 MEASURES = "doc_id bigint, n_words bigint, run_share double, line_share double, paragraph_share double"
 
 
@@ -142,3 +145,32 @@ def ablations(book: DataFrame, policies: tuple[Policy, ...] = POLICIES, rules: t
     ]
     rows = patterns.select("n", F.inline(F.array(*cases)))
     return rows.groupBy("policy", "without_rule").agg(F.sum(F.when(F.col("t"), F.col("n")).otherwise(0)).alias("n_docs"))
+
+
+class RulesChangedError(ValueError):
+    """The stored bits were made by other rules."""
+
+
+class Ledger:
+    """A stored ledger below a folder that all executors reach; every record is a version, and all versions can be read."""
+
+    def __init__(self, spark: SparkSession, root: str, rules: tuple[Rule, ...] = RULES) -> None:
+        self.table, self.rules = VersionedTable(spark, root, LEDGER), rules
+
+    def record(self, df: DataFrame, id_col: str, text_col: str) -> Manifest:
+        """Measure new texts and add their rows; rows that are stored are not touched. RulesChangedError if the rules are not those
+        of the rows stored before."""
+        base, rules = self.table.latest(), [[r.name, r.bit, r.condition] for r in self.rules]
+        if base.notes.get("rules", rules) != rules:
+            raise RulesChangedError("start a new ledger for new rules")
+        return self.table.append(ledger(measure(df, id_col, text_col), self.rules), {"rules": rules}, base)
+
+    def rows(self, version: int | None = None) -> DataFrame:
+        return self.table.read(version)
+
+    def take(self, policy: Policy, version: int | None = None) -> DataFrame:
+        """(doc_id) of the documents a policy takes."""
+        return self.rows(version).where(taken(policy, F.col("bits"), rules=self.rules)).select("doc_id")
+
+    def ablations(self, policies: tuple[Policy, ...] = POLICIES, version: int | None = None) -> DataFrame:
+        return ablations(self.rows(version), policies, self.rules)

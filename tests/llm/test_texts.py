@@ -50,6 +50,14 @@ def test_round_trip_with_repeated_rows(spark):
     assert sorted(map(tuple, back), key=repr) == sorted(((i, t or "") for i, t in ODD), key=repr)
 
 
+def test_only_texts_with_newer_characters_are_cut_in_python(spark):
+    rows = encode.blocks(frame(spark, ODD), "doc_id", "text", 3)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
+    kept = rows.collect()
+    assert len({r.block for r in kept}) == len(kept) and sum(len(r.docs) for r in kept) == len(ODD)
+
+
 def test_encode_nothing(spark):
     assert encode.encode(frame(spark, []), "doc_id", "text").collect() == []
 
@@ -94,6 +102,31 @@ def test_leaks_equal_brute_force(spark, shard):
     assert ((73, 3) in got) == (len(words(items[3][1])) >= 8)
 
 
+def test_the_index_has_a_bounded_size_and_is_built_by_tasks(spark):
+    import pickle
+
+    rng = random.Random(7)
+    items = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randrange(9, 200)))) for i in range(400)]
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    blobs = [r.blob for r in leakage.shard_indexes(table, 3, 8).collect()]
+    assert len(blobs) == 3
+    for blob in blobs:
+        index = pickle.loads(blob)
+        n = len(index.coded)
+        assert len(blob) <= leakage.INDEX_BYTES * n + index.terms.nbytes + 20_000 and index.nbytes() <= len(blob) + 1000
+    whole = leakage.ItemIndex(items)
+    assert len(whole.coded) == sum(len(words(t)) for _, t in items) and len(whole.run_hash) == sum(len(words(t)) - 7 for _, t in items)
+
+
+def test_the_corpus_is_read_once_for_many_shards(spark):
+    items = spark.createDataFrame([(i, f"a{i} b c d e f g h i{i} j") for i in range(30)], "item_id bigint, text string")
+    docs = frame(spark, [(i, f"x a{i} b c d e f g h i{i} y") for i in range(0, 30, 3)] + [(99, "nothing of all this " * 9)])
+    routed = dict(leakage.route(docs.select("doc_id", "text").toDF("i", "t"), leakage.shard_indexes(items, 4, 8), 4, 8, 32))
+    sizes = [df.count() for df in routed.values()]
+    assert len(sizes) == 4 and sum(sizes) >= 10 and all(df.where("i = 99").isEmpty() for df in routed.values())
+    assert leakage.leaks(docs, items, shard_bytes=200).count() == 10
+
+
 def test_leaks_of_nothing(spark):
     items = spark.createDataFrame([(1, "a b c d e f g h")], "item_id bigint, text string")
     assert leakage.leaks(frame(spark, []), items).collect() == []
@@ -165,3 +198,21 @@ def test_ledger_policies_and_ablations(spark):
     cases = {(r.policy, r.without_rule): r.n_docs for r in repetition.ablations(book).collect()}
     assert cases["1", "none"] == 1 and cases["1", "runs"] == 0 and cases["1", "short"] == 2 and cases["2", "short"] == 4
     assert repetition.ledger(repetition.measure(frame(spark, []), "doc_id", "text")).collect() == []
+
+
+def test_a_stored_ledger_answers_without_texts(spark, tmp_path):
+    docs = [(1, "a b c d e " * 6), (2, "one two\none two\nx\n"), (3, "p q\n\nr\n\np q\n\np q"), (4, None)]
+    frame(spark, docs).write.parquet(f"{tmp_path}/docs")
+    texts = spark.read.parquet(f"{tmp_path}/docs")
+    book = repetition.Ledger(spark, f"file://{tmp_path}/book")
+    book.record(texts, "doc_id", "text")
+    book.record(frame(spark, [(5, "a b c d e " * 5)]), "doc_id", "text")
+    assert [r.doc_id for r in book.take(repetition.POLICIES[0], 0).collect()] == [1]
+    assert sorted(r.doc_id for r in book.take(repetition.POLICIES[0]).collect()) == [1, 5]
+    for answer in (book.take(repetition.POLICIES[1]), book.ablations()):
+        files = answer.inputFiles()
+        assert files and all("/book/" in f for f in files)
+        assert "MapInArrow" not in answer._jdf.queryExecution().executedPlan().toString()
+    other = repetition.Ledger(spark, f"file://{tmp_path}/book", repetition.RULES[:2])
+    with pytest.raises(repetition.RulesChangedError):
+        other.record(texts, "doc_id", "text")
