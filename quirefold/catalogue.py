@@ -13,6 +13,7 @@ from quirefold.lang.parser import compile_tree
 from quirefold.lang.tree import Category
 from quirefold.operators import store, view
 from quirefold.plans.column import select_by_rows, select_documents
+from quirefold.plans.masks import select_bridged
 from quirefold.plans.sql import where
 from quirefold.runtime import table
 from quirefold.sinks import outputs
@@ -73,11 +74,15 @@ TEXTS = {
 }
 
 
-def run_text(spark: SparkSession, d: str, corpus: str, text: str, form: Callable = select_documents) -> DataFrame:
-    """The paths a query takes; only the sets it names are gathered."""
+def run_text(spark: SparkSession, d: str, corpus: str, text: str, form: Callable | None = None) -> DataFrame:
+    """The paths a query takes. Sets in bridge tables are met from their dictionaries; with `form`, the sets a query names are
+    gathered and the query is put to the arrays."""
     tree = compile_tree(text)
+    if form is None and corpus in corpora.BRIDGED:
+        docs, bridges = corpora.BRIDGED[corpus](spark, d, tree.categories())
+        return select_bridged(docs, bridges, tree).select("path")
     docs = corpora.BINDINGS[corpus](spark, d, [c.value for c in tree.categories() if c.is_set])
-    return form(docs, tree).select("path")
+    return (form or select_documents)(docs, tree).select("path")
 
 
 def text_sql(corpus: str, text: str) -> str:
@@ -90,6 +95,7 @@ for _name, (_corpus, _text) in TEXTS.items():
     add(_name, text_sql(_corpus, _text))(lambda s, d, c=_corpus, t=_text: run_text(s, d, c, t))
 for _name in ("bool_nested", "pred_set_approx_same_element", "orders_tuple"):
     _corpus, _text = TEXTS[_name]
+    add(f"{_name}_by_arrays", text_sql(_corpus, _text))(lambda s, d, c=_corpus, t=_text: run_text(s, d, c, t, select_documents))
     add(f"{_name}_by_rows", text_sql(_corpus, _text))(lambda s, d, c=_corpus, t=_text: run_text(s, d, c, t, select_by_rows))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.lang.tree import Category
+from quirefold.plans.masks import Bridge
 from quirefold.runtime import table
 from quirefold.schema import COLUMNS, SETS
 
@@ -42,14 +43,19 @@ def note_links(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "links").select("doc_id", _text("link").alias("link"))
 
 
-def notes(spark: SparkSession, d: str, sets: Iterable[str] = SETS) -> DataFrame:
-    """note_files as documents. Only the named sets are gathered; the others are null, and their tables are not read."""
-    docs = table(spark, d, "note_files").select(
+def note_scalars(spark: SparkSession, d: str) -> DataFrame:
+    """note_files without sets."""
+    return table(spark, d, "note_files").select(
         F.col("id").alias("doc_id"), "path", _text("title").alias("title"),
         F.date_trunc("second", "doc_date").cast("timestamp_ntz").alias("date"),
         F.date_trunc("second", "filetime").cast("timestamp_ntz").alias("filetime"),
         _text("headings").alias("headings"), _text("meta").alias("meta"),
     )
+
+
+def notes(spark: SparkSession, d: str, sets: Iterable[str] = SETS) -> DataFrame:
+    """note_files as documents. Only the named sets are gathered; the others are null, and their tables are not read."""
+    docs = note_scalars(spark, d)
     sources = {"authors": (note_authors, "author", False), "tags": (note_tags, "tag", True), "links": (note_links, "link", True)}
     for name in SETS:
         if name in sets:
@@ -106,6 +112,44 @@ def events(spark: SparkSession, d: str, sets: Iterable[str] = SETS) -> DataFrame
 
 BINDINGS = {"notes": notes, "orders": orders, "events": events}
 
+
+def bridged_notes(spark: SparkSession, d: str, categories: Iterable[Category]) -> tuple[DataFrame, dict[Category, Bridge]]:
+    """Notes without sets, and the bridges of the named sets."""
+    pick = lambda name, key, value: table(spark, d, name).select(F.col(key).alias("key"), _text(value).alias("value"))
+    rows = lambda name, key: table(spark, d, name).select("doc_id", F.col(key).alias("key"))
+    bridges = {
+        Category.AUTHOR: lambda: Bridge(rows("document_authors", "author_id"), pick("authors", "id", "author")),
+        Category.TAGS: lambda: Bridge(rows("document_tags", "tag_id"), pick("tags", "id", "tag")),
+        Category.LINKS: lambda: Bridge(table(spark, d, "links").select("doc_id", _text("link").alias("value"))),
+    }
+    return note_scalars(spark, d), {c: bridges[c]() for c in categories if c.is_set}
+
+
+def bridged_orders(spark: SparkSession, d: str, categories: Iterable[Category]) -> tuple[DataFrame, dict[Category, Bridge]]:
+    """Orders without sets (the latest shipping date only if it is named), and the bridges of the named sets."""
+    categories = set(categories)
+    pick = lambda name, key, value: table(spark, d, name).select(F.col(key).alias("key"), F.col(value).alias("value"))
+    lines = lambda key: table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col(key).alias("key"))
+    docs = table(spark, d, "orders")
+    who = docs.select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("key"))
+    bridges = {
+        Category.AUTHOR: lambda: Bridge(who, pick("customer", "c_custkey", "c_name")),
+        Category.TAGS: lambda: Bridge(lines("l_partkey"), pick("part", "p_partkey", "p_brand")),
+        Category.LINKS: lambda: Bridge(lines("l_suppkey"), pick("supplier", "s_suppkey", "s_name")),
+    }
+    docs = docs.select(
+        F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("orders/"), F.col("o_orderkey")).alias("path"), F.col("o_orderpriority").alias("title"),
+        F.date_trunc("second", "o_orderdate").cast("timestamp_ntz").alias("date"), F.lit(None).cast("string").alias("headings"),
+        F.concat(F.lit("status: "), "o_orderstatus", F.lit("\n")).alias("meta"),
+    )
+    if Category.FILETIME in categories:
+        last = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.max("l_shipdate").alias("f"))
+        docs = docs.join(last.select("doc_id", F.date_trunc("second", "f").cast("timestamp_ntz").alias("filetime")), "doc_id", "left")
+    return docs, {c: bridges[c]() for c in categories if c.is_set}
+
+
+BRIDGED = {"notes": bridged_notes, "orders": bridged_orders}
+
 _NOTE_SETS = {
     Category.AUTHOR: "LEFT JOIN (SELECT doc_id, nullif(author, '') AS authors FROM document_authors JOIN authors ON author_id = id) a ON a.doc_id = b.id AND a.authors IS NOT NULL",
     Category.TAGS: "LEFT JOIN (SELECT DISTINCT doc_id, nullif(tag, '') AS tags FROM document_tags JOIN tags ON tag_id = id) t ON t.doc_id = b.id AND t.tags IS NOT NULL",

@@ -10,6 +10,7 @@ from quirefold.lang.rewrite import normalize
 from quirefold.lang.tree import Category, Clause, Op, Statement
 from quirefold.operators.view import search_view
 from quirefold.plans.column import java_regex, select_by_rows, select_documents
+from quirefold.plans.masks import Bridge, needs, select_bridged
 from quirefold.plans.sql import where
 from quirefold.schema import DOC_SCHEMA, SchemaError
 
@@ -38,6 +39,21 @@ def ids(df):
     return sorted(r.doc_id for r in df.collect())
 
 
+def bridged(spark, rows=ROWS):
+    """The same documents with their sets in bridge tables, authors and tags through dictionaries."""
+    at = {Category.AUTHOR: 7, Category.TAGS: 8, Category.LINKS: 9}
+    values = {c: [(r[0], v) for r in rows for v in r[i] or []] for c, i in at.items()}
+    bridges = {Category.LINKS: Bridge(spark.createDataFrame([*values[Category.LINKS], (None, "l1"), (77, "l1")], "doc_id bigint, value string"))}
+    for c in (Category.AUTHOR, Category.TAGS):
+        keys = {v: k for k, v in enumerate(sorted({v for _, v in values[c]}))}
+        pairs = [(d, keys[v]) for d, v in values[c]]
+        bridges[c] = Bridge(
+            spark.createDataFrame(pairs + pairs[:2] + [(1, None), (None, 0), (3, 999)], "doc_id bigint, key bigint"),
+            spark.createDataFrame([(k, v) for v, k in keys.items()] + [(500, None)], "key bigint, value string"),
+        )
+    return spark.createDataFrame(rows, DOC_SCHEMA).drop("authors", "tags", "links"), bridges
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [
@@ -50,9 +66,10 @@ def ids(df):
         ("t=x t:y", []), ("(or t=x p=p4.md)", [1, 2, 4]), ("(or a=Ann (and t=y l=l2))", [1, 2, 5]),
     ],
 )
-def test_meaning(docs, text, want):
+def test_meaning(spark, docs, text, want):
     tree = compile_tree(text)
     assert ids(select_documents(docs, tree)) == want
+    assert ids(select_bridged(*bridged(spark), tree)) == want
     assert ids(select_by_rows(docs, tree)) == want
 
 
@@ -79,10 +96,11 @@ def test_random_trees_in_three_forms(spark, docs):
     rows = search_view(docs).toPandas()
     con = duckdb.connect()
     con.register("v", rows)
-    hits = 0
-    for _ in range(25):
+    hits, tables = 0, bridged(spark)
+    for n in range(25):
         tree = normalize(random_tree(rng, 3))
         got = ids(select_documents(docs, tree))
+        assert n > 11 or got == ids(select_bridged(*tables, tree)), str(tree)
         from quirefold.lang.rewrite import optimize
 
         want = sorted(r[0] for r in con.execute(f"SELECT DISTINCT doc_id FROM v WHERE {where(tree)}").fetchall())
@@ -121,3 +139,17 @@ def test_scan_prunes_and_pushes(spark, tmp_path):
     kept = select_documents(spark.read.parquet(str(tmp_path / "d")), compile_tree("T=Alpha d>2019-01-01")).select("path")
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(title,Alpha)" in plan and "GreaterThan(date" in plan and "headings" not in plan and "Exchange" not in plan
+
+
+def test_many_statements_about_one_set(spark, docs):
+    for n in (7, 70):
+        tree = Clause(True, [Statement(Category.TAGS, Op.RE, f"^z{i}$", False) for i in range(n - 2)])
+        tree.statements += [Statement(Category.TAGS, Op.RE, "^y", False), Statement(Category.LINKS, Op.EQ, "l2", False)]
+        assert ids(select_bridged(*bridged(spark), tree)) == ids(select_documents(docs, tree)) == [2, 5]
+
+
+def test_a_set_statement_starts_from_the_dictionary(spark):
+    assert needs(compile_tree("t=x (or l=l1 T=A)"), Category.TAGS) and not needs(compile_tree("t=x (or l=l1 T=A)"), Category.LINKS)
+    plan = select_bridged(*bridged(spark), compile_tree("t=x"))._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join Inner, (") :]
+    assert "collect" not in plan and "Filter" in below and "= x)" in below
