@@ -123,6 +123,45 @@ def test_links_do_not_depend_on_the_number_of_rows(spark, times):
         assert (entity[a] == entity[b]) == (firsts[a] == firsts[b]), (rows[a][1], rows[b][1])
 
 
+def test_names_that_no_table_has(spark):
+    """Given names outside the tables: slips, short forms and different people of one family."""
+    groups = [
+        ["Zorblaxian Tarvolen", "Zorblaxian Tarvolen", "Tarvolen, Zorblaxan", "Zorb Tarvolen", "Zorby Tarvolen", "Z. Tarvolen", "zorblaxian.tarvolen", "Zorblaxian Tarvloen"],
+        ["Zuminette Tarvolen", "Zumminette Tarvolen"],
+        ["Quill Tarvolen", "Quill Tarvolen", "Quil Tarvolen"],
+        ["Zorblaxian Bisgonnet", "Zorblaxiam Bisgonnet"],
+    ]
+    flat = [(k, v) for k, g in enumerate(groups) for v in g]
+    for times in (1, 5):
+        rows = [(i * times + n, v, "x", "y") for i, (_, v) in enumerate(flat) for n in range(times)]
+        entity = {r.id: r.entity for r in names.entities(spark.createDataFrame(rows, AUTHORS), "id", "author").collect()}
+        for (i, (k, v)), (j, (m, w)) in combinations(enumerate(flat), 2):
+            if "Z. Tarvolen" not in (v, w):  # two people of the family can be meant
+                assert (entity[i * times] == entity[j * times]) == (k == m), (v, w)
+
+
+def test_tables_of_ones_own(spark, tmp_path):
+    import json
+    import pickle
+
+    (tmp_path / "names.json").write_text(json.dumps({"given": {"zorblaxian": "zed"}, "kinds": {"coven": "cov"}}))
+    reader = pickle.loads(pickle.dumps(names.Reader.load(str(tmp_path / "names.json"))))
+    assert reader.read("Zed Tarvolen") == [("z", "tarvolen", ("zorblaxian",))] and names.read("Zed Tarvolen") == [("z", "tarvolen", ("~zed",))]
+    assert reader.read("Tarvolen Cov.") == [("o:c", "tarvolen", ("coven",))]
+    rows = [(1, "Zed Tarvolen", "x", "y"), (2, "Zorblaxian Tarvolen", "x", "y"), (3, "Tarvolen Coven", "x", "y")]
+    entity = {r.id: r.entity for r in names.entities(spark.createDataFrame(rows, AUTHORS), "id", "author", reader=reader).collect()}
+    assert entity[1] == entity[2] != entity[3]
+
+
+def test_cells_are_divided_into_bounded_products(spark):
+    """One block of 600 names and cells of 20: no task of the join meets more than a few cells' worth, and nothing is lost."""
+    rng = random.Random(5)
+    points = sorted({("x", "".join(rng.choices("abcd", k=rng.randrange(4, 9)))) for _ in range(600)})
+    got = {tuple(r) for r in names.radius_join(spark.createDataFrame(points, "block string, name string"), 1, 20, 4).collect()}
+    want = {("x", x, y, levenshtein(x, y)) for (_, x), (_, y) in combinations(points, 2) if abs(len(x) - len(y)) <= 1 and levenshtein(x, y) <= 1}
+    assert got == want and len(want) > 100
+
+
 def test_established_names_close_to_each_other_stay_apart(spark):
     rows = [(i, "Roderick Tarvolen" if i % 5 < 3 else "Rod Tarvolen", "x", "y") for i in range(60)]
     rows += [(100 + i, "Roderick Tarvelan" if i % 5 < 3 else "Rod Tarvelan", "x", "y") for i in range(50)]
