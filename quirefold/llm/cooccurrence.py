@@ -15,15 +15,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.operators.skew import skew_join
+from quirefold.operators.skew import sized_join
 from quirefold.runtime import materialize
 
 
 def chunks(uses: DataFrame, chunk: int) -> DataFrame:
     """(basket, k, c, items): the items of each basket, sorted, in k chunks of about `chunk` items."""
     sizes = uses.groupBy("basket").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
-    large = sizes.select("basket", F.ceil(F.col("n") / chunk).cast("int").alias("k"))
-    cut = skew_join(uses, large, ["basket"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    # Written, so that the planner knows how few they are.
+    large = materialize(sizes.select("basket", F.ceil(F.col("n") / chunk).cast("int").alias("k")), "large")
+    cut = sized_join(uses, large, ["basket"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
     place = F.pmod(F.xxhash64("item", "basket"), F.col("k")).cast("int")
     return cut.withColumn("c", place).groupBy("basket", "k", "c").agg(F.array_sort(F.collect_list("item")).alias("items"))
 
@@ -61,11 +62,11 @@ def cooccurrence(
         counts = counts.where(F.col("n") <= total / min_lift)
     # Integers stand for the items; written, so that they stay the same when a task is repeated.
     items = materialize(counts.withColumn("item", F.monotonically_increasing_id()), "items")
-    coded = skew_join(uses, items.select("name", "item"), ["name"]).select("basket", "item")
+    coded = sized_join(uses, items.select("name", "item"), ["name"]).select("basket", "item")
     together = pairs(materialize(chunks(coded, chunk), "chunks")).groupBy("a", "b").agg(F.count("*").alias("n_ab")).where(F.col("n_ab") >= min_count)
     for side in ("a", "b"):
         own = items.select(F.col("item").alias(side), F.col("name").alias(f"name_{side}"), F.col("n").alias(f"n_{side}"))
-        together = together.join(own, side)
+        together = sized_join(together, own, [side])
     swap = F.col("name_a") > F.col("name_b")
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
     n = F.lit(float(total))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from quirefold.operators.skew import skew_join
+from quirefold.operators.skew import sized_join
 
 _SPACE = re.compile(r"\s+")
 
@@ -77,5 +77,5 @@ def tag_uses(document_tags: DataFrame, tags: DataFrame, notes: DataFrame) -> Dat
     )
     forms = tags.select(F.col("id").alias("tag_id"), tag_forms("tag").alias("form")).where("form IS NOT NULL")
     known = notes.select(F.col("id").alias("doc_id")).where("doc_id IS NOT NULL")
-    named = skew_join(skew_join(rows, forms, ["tag_id"]), known, ["doc_id"], "left_semi")
+    named = sized_join(sized_join(rows, forms, ["tag_id"]), known, ["doc_id"], "left_semi")
     return named.groupBy("doc_id", "form").agg(F.sum("n").alias("n_rows"))
