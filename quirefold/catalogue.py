@@ -166,28 +166,70 @@ def fn_parse_datetime(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("moment", scalar.parse_datetime(F.col("said")))
 
 
-@add("parse_dates")
+#: Every layout as Spark and as DuckDB write it, what it keeps of a moment, and the minutes its zone is ahead.
+_LAYOUTS = (
+    ("MMM d, yyyy", "%b %-d, %Y", "day", 0), ("MMMM d, yyyy", "%B %-d, %Y", "day", 0), ("MMMM d yyyy", "%B %-d %Y", "day", 0),
+    ("MMM d yyyy", "%b %-d %Y", "day", 0), ("yyyy MMMM d", "%Y %B %-d", "day", 0), ("yyyy-MM-dd", "%Y-%m-%d", "day", 0),
+    ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S", "second", 0), ("MM/dd hh:mm:ssa ''yy '+0200'", "%m/%d %I:%M:%S%p ''%y +0200", "second", 120),
+    ("EEE MMM d HH:mm:ss yyyy", "%a %b %-d %H:%M:%S %Y", "second", 0), ("EEE MMM d HH:mm:ss 'UTC' yyyy", "%a %b %-d %H:%M:%S UTC %Y", "second", 0),
+    ("EEE MMM dd HH:mm:ss '-0330' yyyy", "%a %b %d %H:%M:%S -0330 %Y", "second", -210), ("dd MMM yy HH:mm 'MST'", "%d %b %y %H:%M MST", "minute", 0),
+    ("dd MMM yy HH:mm '+0100'", "%d %b %y %H:%M +0100", "minute", 60), ("EEEE, dd-MMM-yy HH:mm:ss 'GMT'", "%A, %d-%b-%y %H:%M:%S GMT", "second", 0),
+    ("EEE, dd MMM yyyy HH:mm:ss 'GMT'", "%a, %d %b %Y %H:%M:%S GMT", "second", 0), ("EEE, dd MMM yyyy HH:mm:ss '-0800'", "%a, %d %b %Y %H:%M:%S -0800", "second", -480),
+    ("yyyy-MM-dd'T'HH:mm:ss'+07:00'", "%Y-%m-%dT%H:%M:%S+07:00", "second", 420),
+)
+
+
+@add("fn_parse_layouts", " UNION ALL ".join(
+    f"SELECT id, {i} AS layout, strftime(filetime, '{p}') AS said, date_trunc('{unit}', filetime)::TIMESTAMP - to_minutes({ahead}) AS moment FROM note_files WHERE filetime IS NOT NULL"
+    for i, (_, p, unit, ahead) in enumerate(_LAYOUTS)
+))
+def fn_parse_layouts(spark: SparkSession, d: str) -> DataFrame:
+    """Every filetime written in each of the accepted layouts, and read again."""
+    f = F.col("filetime")
+    said = F.array(*[F.date_format(f, p) for p, *_ in _LAYOUTS])
+    rows = table(spark, d, "note_files").where("filetime IS NOT NULL").select("id", F.posexplode(said).alias("layout", "said"))
+    return rows.withColumn("moment", scalar.parse_datetime(F.col("said")))
+
+
+#: The headers of these tables have title, author, date, tags and status, one line each or a list of tags below.
+_SAID = r"""regexp_extract(h, '(?m)^date: *"?([^"\n]*)"?$', 1)"""
+_TAGS = r"""CASE WHEN regexp_matches(h, '(?m)^tags: \[') THEN string_split(regexp_extract(h, '(?m)^tags: \[(.*)\]$', 1), ', ')
+  ELSE regexp_extract_all(regexp_extract(h, '(?m)^tags:\n((?:- .*(?:\n|$))+)', 1), '- (.*)', 1) END"""
+PARSED_SQL = rf"""(
+  SELECT doc_id, path, content, length, h, {_SAID} AS said, try_strptime({_SAID}, {_FORMATS}) AS date, {_TAGS} AS tag_list,
+    CASE WHEN NOT coalesce(has, FALSE) OR h = '' THEN 'no header' WHEN {_SAID} <> '' AND try_strptime({_SAID}, {_FORMATS}) IS NULL THEN chr(39) || {_SAID} || chr(39) || ' is no date' END AS error
+  FROM (SELECT *, regexp_matches(content, '^---\n(?s:.*?)\n---\n') AS has, regexp_extract(content, '^---\n((?s:.*?))\n---\n', 1) AS h FROM {FILES_SQL}))"""
+_LINKS_SQL = _marks_sql(2, 4)
+
+
+@add("parse_dates", f"SELECT doc_id, date FROM {PARSED_SQL} WHERE date IS NOT NULL")
 def parse_dates(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose header holds a date, bad ones ignored."""
     parsed = markdown.parse(_files(spark, d), markdown.ParseOptions(ignore_date_error=True))
     return parsed.where("date IS NOT NULL").select("doc_id", "date")
 
 
-@add("parse_error_count")
+@add("parse_error_count", f"SELECT error, count(*) AS n FROM {PARSED_SQL} WHERE error IS NOT NULL GROUP BY error")
 def parse_error_count(spark: SparkSession, d: str) -> DataFrame:
     return markdown.split_errors(markdown.parse(_files(spark, d)))[1].groupBy("error").agg(F.count("*").alias("n"))
 
 
-@add("parse_documents")
+@add("parse_documents", rf"""SELECT p.doc_id, p.path, nullif(trim(regexp_extract(h, '(?m)^title: *(.*)$', 1), '"'), '') AS title, p.date, date_trunc('second', n.filetime)::TIMESTAMP AS filetime,
+  nullif(g.headings, '') AS headings, nullif(regexp_extract(h, '(?m)^status: .*$'), '') || chr(10) AS meta, regexp_extract(h, '(?m)^author: *(.*)$', 1) AS authors,
+  array_to_string(list_distinct_ordered, chr(31)) AS tags, g.links
+  FROM (SELECT *, list_filter(tag_list, lambda x, i : list_position(tag_list, x) = i) AS list_distinct_ordered FROM {PARSED_SQL}) p JOIN note_files n ON n.id = p.doc_id
+  JOIN (SELECT doc_id, array_to_string({_marks_sql(1, 3)}, chr(10)) || CASE WHEN len({_marks_sql(1, 3)}) > 0 THEN chr(10) ELSE '' END AS headings,
+          array_to_string(list_filter({_LINKS_SQL}, lambda x, i : list_position({_LINKS_SQL}, x) = i), chr(31)) AS links FROM documents) g ON g.doc_id = p.doc_id
+  WHERE error IS NULL""")
 def parse_documents(spark: SparkSession, d: str) -> DataFrame:
-    return markdown.split_errors(markdown.parse(_files(spark, d)))[0]
+    return _flat(markdown.split_errors(markdown.parse(_files(spark, d)))[0])
 
 
-@add("agg_index_stats")
+@add("agg_index_stats", f"""SELECT (SELECT count(*) FROM {FILES_SQL}) AS n_crawled, count(*) AS n_accepted, count(*) FILTER (error IS NULL) AS n_parsed,
+  count(*) FILTER (error IS NOT NULL) AS n_errors FROM {PARSED_SQL} WHERE {_ALL} AND length <= 204800""")
 def agg_index_stats(spark: SparkSession, d: str) -> DataFrame:
     files = _files(spark, d)
-    accepted = filters.accept(files)
-    return markdown.index_stats(files, accepted, markdown.parse(accepted))
+    return markdown.index_stats(files, filters.condition())
 
 
 _FLAT = ["doc_id", "path", "title", "date", "filetime", "headings", "meta"]
@@ -251,6 +293,11 @@ def anti_orphan_authors(spark: SparkSession, d: str) -> DataFrame:
     return view.unused(table(spark, d, "authors"), table(spark, d, "document_authors"), "author_id")
 
 
+@add("anti_notes_without_author", "SELECT id, path FROM note_files WHERE id NOT IN (SELECT doc_id FROM document_authors WHERE doc_id IS NOT NULL)")
+def anti_notes_without_author(spark: SparkSession, d: str) -> DataFrame:
+    return view.unused(table(spark, d, "note_files").select("id", "path"), table(spark, d, "document_authors"), "doc_id")
+
+
 @add("anti_orphan_tags", "SELECT id, tag FROM tags WHERE id NOT IN (SELECT tag_id FROM document_tags WHERE tag_id IS NOT NULL)")
 def anti_orphan_tags(spark: SparkSession, d: str) -> DataFrame:
     return view.unused(table(spark, d, "tags"), table(spark, d, "document_tags"), "tag_id")
@@ -347,6 +394,12 @@ def fn_coalesce(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "note_files").select("id", F.coalesce("filetime", F.lit("1970-01-01").cast("timestamp_ntz")).alias("filetime"))
 
 
+@add("fn_contains_sliced", "SELECT id, contains(headings, substring(title, 3, 5)) AS hit FROM note_files WHERE headings IS NOT NULL AND title IS NOT NULL")
+def fn_contains_sliced(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "note_files").where("headings IS NOT NULL AND title IS NOT NULL")
+    return rows.select("id", scalar.contains_sliced(F.col("headings"), F.col("title"), 2, 7).alias("hit"))
+
+
 @add("fn_levenshtein", "SELECT p_partkey, levenshtein(p_name, 'lemon') AS n FROM part")
 def fn_levenshtein(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.levenshtein("p_name", F.lit("lemon")).cast("bigint").alias("n"))
@@ -414,13 +467,13 @@ def out_pathonly(spark: SparkSession, d: str) -> DataFrame:
     return Corpus(corpora.notes(spark, d, ())).to("pathonly")
 
 
-@add("out_json", f"""SELECT path, {_moment('date', '%Y-%m-%dT%H:%M:%SZ')} AS date, coalesce(title, '') AS title, CASE WHEN tags = '' THEN NULL ELSE len(string_split(tags, chr(31))) END AS n_tags,
-  coalesce(meta, '') AS meta FROM {NOTES_SQL}""")
+@add("out_json", f"""SELECT path, coalesce(title, '') AS title, {_moment('date', '%Y-%m-%dT%H:%M:%SZ')} AS date, {_moment('filetime', '%Y-%m-%dT%H:%M:%SZ')} AS filetime,
+  nullif(authors, '') AS authors, nullif(tags, '') AS tags, nullif(links, '') AS links, coalesce(headings, '') AS headings, coalesce(meta, '') AS meta FROM {NOTES_SQL}""")
 def out_json(spark: SparkSession, d: str) -> DataFrame:
-    """The JSON of every document, read again."""
-    back = F.from_json("text", "path string, title string, date string, tags array<string>, meta string")
-    rows = Corpus(corpora.notes(spark, d)).to("json").select(back.alias("j"))
-    return rows.select("j.path", "j.date", "j.title", F.when(F.col("j.tags").isNotNull(), F.size("j.tags")).cast("bigint").alias("n_tags"), "j.meta")
+    """The JSON of every document, read again: all its fields."""
+    kinds = ", ".join(f"{f} {'array<string>' if f in ('authors', 'tags', 'links') else 'string'}" for f in outputs.FIELDS)
+    rows = Corpus(corpora.notes(spark, d)).to("json").select(F.from_json("text", kinds).alias("j"))
+    return rows.select(*[F.array_join(f"j.{f}", "\x1f").alias(f) if f in ("authors", "tags", "links") else F.col(f"j.{f}") for f in outputs.FIELDS])
 
 
 # -- store ----------------------------------------------------------------------------------------------------------

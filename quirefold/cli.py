@@ -6,7 +6,9 @@ import argparse
 import json
 import logging
 import os
+import signal
 import sys
+import threading
 from pathlib import Path
 
 from quirefold import __version__
@@ -136,16 +138,20 @@ def serve(args: argparse.Namespace, spark) -> int:
     from quirefold.operators.store import DocumentStore
 
     kept = DocumentStore(spark, uri(args.db))
-    corpus = Corpus(kept.read())
+    corpus = lambda: Corpus(kept.read())  # noqa: E731 (each query asks the latest version)
     unix = args.address.removeprefix("unix:") if args.address.startswith("unix:") else None
     running = server.serve_unix(corpus, unix) if unix else server.serve_http(corpus, args.address, args.port)
-    stop = server.every(3600, lambda: logging.info("store: %s", kept.info()))
+    stop = server.every(3600, lambda: (kept.tidy(), logging.info("store: %s", kept.info())))
+    if threading.current_thread() is threading.main_thread():
+        signal.signal(signal.SIGTERM, signal.getsignal(signal.SIGINT))
     try:
         running.serve_forever()
     except KeyboardInterrupt:
         pass
     finally:
         stop.set()
+        if not running.drain():
+            logging.error("queries were still running")
         running.server_close()
         if unix:
             Path(unix).unlink(missing_ok=True)

@@ -76,6 +76,13 @@ def match(text: Column, phrase: str) -> Column:
     return F.contains(F.lower(text), F.lower(F.lit(phrase))) if len(phrase) >= 3 else text.isNotNull() & F.lit(False)
 
 
+def contains_sliced(text: Column, phrase: Column, left: int, right: int) -> Column:
+    """Whether the characters left to right (not included) of the phrase stand anywhere in the text; places outside the phrase
+    are moved to its ends, and an empty slice stands everywhere."""
+    first = max(left, 0)
+    return F.contains(text, F.substring(phrase, first + 1, max(right - first, 0)))
+
+
 def nearest(word: Column, words: list[str], ceiling: int) -> Column:
     """The nearest of some words by edit distance (ties: the first), null unless it is nearer than `ceiling`."""
     cases = F.array(*[F.struct(F.levenshtein(word, F.lit(w)).alias("d"), F.lit(i).alias("i"), F.lit(w).alias("w")) for i, w in enumerate(words)])

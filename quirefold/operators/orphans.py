@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.operators.skew import skew_join
+from quirefold.operators.skew import sized_join, skew_join
 from quirefold.runtime import materialize
 
 
@@ -100,7 +100,7 @@ def orphans(links: DataFrame, notes: DataFrame, scans: DataFrame) -> DataFrame:
     # The side of the note: references AND-NOT notes, per month. What is written has a size the planner knows: few orphans are
     # broadcast, many are joined by shuffles.
     gone = decode(and_not(bitmap_words(refs, "doc_id", ["noted_month"]), bitmap_words(own, "doc_id")), "doc_id")
-    no_doc = among(refs, materialize(gone, "gone"), ["doc_id", "noted_month"]).select(
+    no_doc = sized_join(refs, materialize(gone, "gone"), ["doc_id", "noted_month"]).select(
         "doc_id", "link", F.lit("doc").alias("lacking"), F.lit("missing").alias("fate"), "noted_month"
     )
     # The side of the target: paths become integers, then the same. Each path and month goes in once.
@@ -119,19 +119,12 @@ def orphans(links: DataFrame, notes: DataFrame, scans: DataFrame) -> DataFrame:
     )
     words = split.select("noted_month", "key_range", F.inline(fates)).where("word <> 0")
     dead = materialize(decode(words, "target_id").join(ids, "target_id").drop("target_id"), "dead")
-    no_target = among(placed, dead, ["target", "noted_month"]).select(
+    no_target = sized_join(placed, dead, ["target", "noted_month"]).select(
         "doc_id", "link", F.lit("target").alias("lacking"), "fate", "noted_month"
     )
     return no_doc.unionByName(no_target)
 
 
-def among(rows: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
-    """rows.join(few, on): an ordinary join if the planner will broadcast `few`, otherwise one that bears hot keys."""
-    limit = rows.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = int(str(few._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.join(few, on) if size <= limit else skew_join(rows, few, on)
-
-
 def by_month(found: DataFrame) -> DataFrame:
     """Orphans per side, fate and month."""
     return found.groupBy("lacking", "fate", "noted_month").agg(F.count("*").alias("n_orphans"))

@@ -22,6 +22,13 @@ def hot_keys(df: DataFrame, key: str, support: float) -> dict[int | None, float]
     return {item: count / row["n"] for item, count in map(tuple, row["top"]) if count > support * row["n"]}
 
 
+def sized_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """An ordinary join if the planner will broadcast `right`, whose size it knows from its tables; otherwise skew_join."""
+    limit = left.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = int(str(right._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return left.join(right, on, how) if size <= limit else skew_join(left, right, on, how)
+
+
 def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", support: float | None = None) -> DataFrame:
     """Like `left.join(right, on, how)`, with the hot keys of `left` spread over tasks.
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.lang.tree import Category, Clause
-from quirefold.operators.skew import skew_join
+from quirefold.operators.skew import sized_join
 from quirefold.plans.column import ColumnNotation, conjuncts, exists_column, referenced_sets, select_documents
 from quirefold.plans.predicate import predicate
 
@@ -101,7 +101,7 @@ def masks(bridge: Bridge, tests: list[Column], name: str) -> DataFrame:
     bits = [F.when(t, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for i, t in enumerate(tests)]
     mask = reduce(lambda a, b: a.bitwiseOR(b), bits)
     marked = values.where(reduce(lambda a, b: a | b, tests)).withColumn("mask", mask).drop("value")
-    rows = marked if bridge.dictionary is None else skew_free(bridge.rows, marked)
+    rows = marked if bridge.dictionary is None else sized_join(bridge.rows, marked, ["key"])
     grouped = rows.where("doc_id IS NOT NULL").groupBy("doc_id")
     if len(tests) > BITS:
         return grouped.agg(F.collect_set("mask").alias(name))
@@ -113,13 +113,6 @@ def masks(bridge: Bridge, tests: list[Column], name: str) -> DataFrame:
     return grouped.agg(there).select("doc_id", F.transform(listed, lambda m: m.cast("bigint")).alias(name))
 
 
-def skew_free(rows: DataFrame, marked: DataFrame) -> DataFrame:
-    """Bridge rows with the masks of their keys: if the marked part of the dictionary is not broadcast, hot keys are spread."""
-    limit = rows.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = int(str(marked._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.join(marked, "key") if size <= limit else skew_join(rows, marked, ["key"])
-
-
 def select_bridged(docs: DataFrame, bridges: dict[Category, Bridge], tree: Clause) -> DataFrame:
     """The documents a tree takes: docs have all columns of the model the tree names but the sets in `bridges`."""
     plain, rest = conjuncts(tree)

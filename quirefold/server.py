@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import logging
 import re
 import socketserver
 import threading
 import uuid
+from collections.abc import Callable
 from datetime import timezone
 from email.utils import format_datetime, parsedate_to_datetime
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from itertools import chain
 from urllib.parse import parse_qs, urlsplit
 
 from quirefold.api import Corpus
@@ -18,6 +21,16 @@ from quirefold.sinks import outputs
 #: The bytes that frame a message on the socket, and the time one query has.
 START_HEADER, START_BODY, END_BODY, END_MESSAGE, END_QUERY = b"\x01", b"\x02", b"\x03", b"\x04", b"\x05"
 TIMEOUT_S = 0.4
+#: Fixed value: how long a server that ends waits for the queries it still answers.
+GRACE_S = 5.0
+
+
+#: A corpus, or what gives the one to ask: a store's latest version at each query.
+Source = Corpus | Callable[[], Corpus]
+
+
+def current(source: Source) -> Corpus:
+    return source() if callable(source) else source
 
 
 def run_for(corpus: Corpus, seconds: float | None, work):
@@ -45,7 +58,7 @@ def run_for(corpus: Corpus, seconds: float | None, work):
         context.removeJobTag(tag)
 
 
-def http_handler(corpus: Corpus) -> type[BaseHTTPRequestHandler]:
+def http_handler(source: Source) -> type[BaseHTTPRequestHandler]:
     class Handler(BaseHTTPRequestHandler):
         protocol_version = "HTTP/1.1"
 
@@ -76,7 +89,7 @@ def http_handler(corpus: Corpus) -> type[BaseHTTPRequestHandler]:
             if "x-www-form-urlencoded" in (self.headers.get("Content-Type") or "") and re.match(r"(?:[^=&]*&)*query=", raw):
                 text = parse_qs(raw).get("query", [raw])[0]
             try:
-                found = corpus.query(text)
+                found = current(source).query(text)
             except QueryError as e:
                 self._reply(400, str(e).encode())
                 return
@@ -91,21 +104,68 @@ def http_handler(corpus: Corpus) -> type[BaseHTTPRequestHandler]:
                     self.send_header("Content-Length", "0")
                     self.end_headers()
                     return
-                body = "".join(outputs.stream(rows.docs, "json")).encode()
+                pieces = outputs.stream(rows.docs, "json")
+                first = next(pieces)
             except Exception:
                 self._reply(500, b"Error executing query")
                 return
-            self._reply(200, body, "application/json", last)
+            self._stream(chain([first], pieces), last)
+
+        def _stream(self, pieces, modified) -> None:
+            """A reply in chunks: one partition of the result is in memory at a time. An error on the way ends the connection."""
+            self.send_response(200)
+            self.send_header("Content-Type", "application/json")
+            chunked = self.request_version != "HTTP/1.0"
+            self.send_header(*(("Transfer-Encoding", "chunked") if chunked else ("Connection", "close")))
+            if modified:
+                self.send_header("Last-Modified", format_datetime(modified, usegmt=True))
+            self.end_headers()
+            self.close_connection = not chunked
+            try:
+                for piece in pieces:
+                    data = piece.encode()
+                    self.wfile.write(b"%x\r\n%b\r\n" % (len(data), data) if chunked else data)
+                if chunked:
+                    self.wfile.write(b"0\r\n\r\n")
+            except Exception:
+                self.close_connection = True
 
     return Handler
 
 
-def serve_http(corpus: Corpus, address: str = "127.0.0.1", port: int = 8080) -> ThreadingHTTPServer:
-    """A server that is ready; serve_forever() runs it, shutdown() ends it."""
-    return ThreadingHTTPServer((address, port), http_handler(corpus))
+class Draining:
+    """Counts the requests in work, so that a server that ends can wait for them."""
 
+    def __init__(self, *args) -> None:
+        self._working, self._idle = 0, threading.Condition()
+        super().__init__(*args)
 
-def socket_handler(corpus: Corpus, timeout: float | None = TIMEOUT_S) -> type[socketserver.BaseRequestHandler]:
+    def process_request_thread(self, request, client_address) -> None:
+        with self._idle:
+            self._working += 1
+        try:
+            super().process_request_thread(request, client_address)
+        finally:
+            with self._idle:
+                self._working -= 1
+                self._idle.notify_all()
+
+    def drain(self, seconds: float = GRACE_S) -> bool:
+        """Wait until no request is in work, `seconds` at most; whether that was reached."""
+        with self._idle:
+            return self._idle.wait_for(lambda: not self._working, seconds)
+
+
+class HttpServer(Draining, ThreadingHTTPServer):
+    pass
+
+
+def serve_http(source: Source, address: str = "127.0.0.1", port: int = 8080) -> HttpServer:
+    """A server that is ready; serve_forever() runs it, shutdown() ends it, drain() waits for what it still answers."""
+    return HttpServer((address, port), http_handler(source))
+
+
+def socket_handler(source: Source, timeout: float | None = TIMEOUT_S) -> type[socketserver.BaseRequestHandler]:
     class Handler(socketserver.BaseRequestHandler):
         def handle(self) -> None:
             pending = b""
@@ -124,6 +184,7 @@ def socket_handler(corpus: Corpus, timeout: float | None = TIMEOUT_S) -> type[so
 
         def _answer(self, text: str) -> bool:
             try:
+                corpus = current(source)
                 found = corpus.query(text)
             except QueryError:
                 return self._error("query compilation error")
@@ -140,12 +201,12 @@ def socket_handler(corpus: Corpus, timeout: float | None = TIMEOUT_S) -> type[so
     return Handler
 
 
-class _UnixServer(socketserver.ThreadingMixIn, socketserver.UnixStreamServer):
+class _UnixServer(Draining, socketserver.ThreadingMixIn, socketserver.UnixStreamServer):
     daemon_threads = True
 
 
-def serve_unix(corpus: Corpus, path: str, timeout: float | None = TIMEOUT_S) -> _UnixServer:
-    return _UnixServer(path, socket_handler(corpus, timeout))
+def serve_unix(source: Source, path: str, timeout: float | None = TIMEOUT_S) -> _UnixServer:
+    return _UnixServer(path, socket_handler(source, timeout))
 
 
 def every(seconds: float, work) -> threading.Event:
@@ -154,7 +215,10 @@ def every(seconds: float, work) -> threading.Event:
 
     def loop() -> None:
         while not stop.wait(seconds):
-            work()
+            try:
+                work()
+            except Exception:
+                logging.exception("periodic work failed")
 
     threading.Thread(target=loop, daemon=True).start()
     return stop

@@ -6,7 +6,7 @@ Missing texts render as nothing and missing moments as the year 1, as in the doc
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,12 +80,33 @@ def custom_text(pattern: str = DEFAULT_FORMAT, date_format: str = RFC3339, list_
     return F.concat(F.lit(""), *[part(*p) for p in parse_format(pattern)])
 
 
-def render(docs: DataFrame, form: str = "default", **options) -> DataFrame:
-    """One column `text`, one row per document in the order of `docs`."""
-    forms = {"default": default_text, "json": json_text, "pathonly": lambda: F.col("path"), "custom": custom_text}
-    if form not in forms:
+#: The forms that can be named; register() adds to them.
+FORMS: dict[str, Callable[..., Column]] = {"default": default_text, "json": json_text, "pathonly": lambda: F.col("path"), "custom": custom_text}
+
+
+def register(name: str, make: Callable[..., Column]) -> None:
+    """Make `name` an output form: `make` takes the form's options and gives the text of a document."""
+    FORMS[name] = make
+
+
+def from_function(write: Callable[[dict], str]) -> Callable[[], Column]:
+    """A form by a Python function of a document as a dictionary; slower than a column expression."""
+
+    def make() -> Column:
+        @F.udf("string", useArrow=True)
+        def call(row) -> str:
+            return write(row.asDict() if hasattr(row, "asDict") else dict(row))
+
+        return call(F.struct(*FIELDS))
+
+    return make
+
+
+def render(docs: DataFrame, form: str | Callable[..., Column] = "default", **options) -> DataFrame:
+    """One column `text`, one row per document in the order of `docs`. form: a name, or what register() would take."""
+    if not callable(form) and form not in FORMS:
         raise FormatError(f"no output form {form!r}")
-    return docs.select(forms[form](**options).alias("text"))
+    return docs.select((form if callable(form) else FORMS[form])(**options).alias("text"))
 
 
 def write_text(docs: DataFrame, path: str, form: str = "default", doc_separator: str = "\n", **options) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.lang.tree import Category
+from quirefold.operators.skew import sized_join
 from quirefold.plans.masks import Bridge
 from quirefold.runtime import table
 from quirefold.schema import COLUMNS, SETS
@@ -31,12 +32,12 @@ def gather(bridge: DataFrame, key: str, value: str, distinct: bool) -> DataFrame
 def note_authors(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, author): repeated rows are kept."""
     who = table(spark, d, "authors").select(F.col("id").alias("author_id"), _text("author").alias("author"))
-    return table(spark, d, "document_authors").join(who, "author_id").select("doc_id", "author")
+    return sized_join(table(spark, d, "document_authors"), who, ["author_id"]).select("doc_id", "author")
 
 
 def note_tags(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "tags").select(F.col("id").alias("tag_id"), _text("tag").alias("tag"))
-    return table(spark, d, "document_tags").join(names, "tag_id").select("doc_id", "tag")
+    return sized_join(table(spark, d, "document_tags"), names, ["tag_id"]).select("doc_id", "tag")
 
 
 def note_links(spark: SparkSession, d: str) -> DataFrame:

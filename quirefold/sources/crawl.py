@@ -16,14 +16,16 @@ FILES = "path string, length bigint, filetime timestamp_ntz, content string"
 
 def crawl(spark: SparkSession, root: str, ignore_hidden: bool = True) -> DataFrame:
     """FILES of all files below `root`, paths relative to it. With `ignore_hidden`, hidden files and all below hidden folders
-    are left out; the root itself may be hidden. Content is read only by plans that use it.
+    are left out; below a root whose own name is hidden, that is everything. Content is read only by plans that use it.
 
     Spark lists no file of no bytes (it has no header and would be no document) and none whose name starts with `_` or `.`;
-    on file systems that are mounted (`file:`) the latter are found by a walk and read beside.
+    on file systems that are mounted (`file:`) tasks walk the folders for the latter and read them beside.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     base = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
+    if ignore_hidden and base.rsplit("/", 1)[-1].startswith("."):
+        return spark.createDataFrame([], FILES)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     out = files.select(
         F.substring(F.col("path"), len(base) + 2, 1 << 30).alias("path"),
         "length",
@@ -31,40 +33,55 @@ def crawl(spark: SparkSession, root: str, ignore_hidden: bool = True) -> DataFra
         F.decode(F.col("content"), "UTF-8").alias("content"),
     )
     if base.startswith("file:"):
-        odd = _odd_names(unquote(urlsplit(base).path))
-        if odd:
-            out = out.unionByName(_read(spark, unquote(urlsplit(base).path), odd))
+        out = out.unionByName(_odd_files(spark, unquote(urlsplit(base).path)))
     return out.where(~F.col("path").rlike(r"(^|/)\.")) if ignore_hidden else out
 
 
-def _odd_names(root: str) -> list[str]:
-    """Paths below `root` of which a step starts with `_` or `.`."""
-    found = []
-    for folder, _, names in os.walk(root):
-        inside = os.path.relpath(folder, root)
-        steps = [] if inside == "." else inside.split(os.sep)
-        hidden = any(s[0] in "_." for s in steps)
-        found += ["/".join([*steps, n]) for n in names if hidden or n[0] in "_."]
-    return found
+def _is_odd(path: str) -> bool:
+    """Whether a step of a path starts with `_` or `.`."""
+    return any(step[:1] in "_." for step in path.split("/"))
+
+
+def _folders(root: str, enough: int) -> list[tuple[str, bool]]:
+    """Folders below `root`, level by level until there are `enough`: (path, whether all below it is meant too)."""
+    done, level = [], [""]
+    while level and len(level) < enough:
+        below = [e.path[len(root) + 1 :] for f in level for e in os.scandir(os.path.join(root, f)) if e.is_dir(follow_symlinks=False)]
+        done += [(f, False) for f in level]
+        level = below
+    return done + [(f, True) for f in level]
 
 
-def _read(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+def _odd_files(spark: SparkSession, root: str) -> DataFrame:
+    """FILES of the files below a mounted root that have an odd step in their path, found and read by tasks, folder by folder."""
+
+    def rows(path: str) -> pa.RecordBatch:
+        full = os.path.join(root, path)
+        moment = datetime.fromtimestamp(int(os.path.getmtime(full)), timezone.utc).replace(tzinfo=None)
+        with open(full, "rb") as f:
+            content = f.read()
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([path]), pa.array([len(content)], pa.int64()), pa.array([moment], pa.timestamp("us")),
+                pa.array([content.decode("utf-8", "replace")]),
+            ],
+            names=["path", "length", "filetime", "content"],
+        )
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                full = os.path.join(root, path)
-                moment = datetime.fromtimestamp(int(os.path.getmtime(full)), timezone.utc).replace(tzinfo=None)
-                with open(full, "rb") as f:
-                    content = f.read()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([path]), pa.array([len(content)], pa.int64()), pa.array([moment], pa.timestamp("us")),
-                        pa.array([content.decode("utf-8", "replace")]),
-                    ],
-                    names=["path", "length", "filetime", "content"],
-                )
-
-    listed = spark.createDataFrame([(p,) for p in paths], "path string")
+            for folder, below in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for place, deeper, names in os.walk(os.path.join(root, folder)):
+                    inside = os.path.relpath(place, root)
+                    for name in names:
+                        path = name if inside == "." else f"{inside}/{name}"
+                        if _is_odd(path) and os.path.isfile(os.path.join(root, path)):
+                            yield rows(path)
+                    if not below:
+                        deeper.clear()
+
+    cores = spark.sparkContext.defaultParallelism
+    listed = spark.createDataFrame(_folders(root, 4 * cores), "folder string, below boolean").repartition(cores)
     return listed.mapInArrow(work, FILES)
 
 

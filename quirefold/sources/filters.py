@@ -65,8 +65,33 @@ FILTERS: dict[str, Callable[..., Column]] = {
 DEFAULTS = ("Ext_.md", "MaxSize_204800", "ExcludeParent_templates", "YAMLHeader")
 
 
-def parse_filter(spec: str) -> Column:
-    """`Name_parameter`, or the name of a filter without parameter."""
+#: A filter: its text, a condition on path, length and content, or a function of them.
+Filter = str | Column | Callable[[str, int, str | None], bool]
+
+
+def register(name: str, make: Callable[[str], Column]) -> None:
+    """Make `Name_parameter` a filter in texts and on the command line."""
+    if "_" in name:
+        raise FilterError(f"{name!r} has the mark that ends a name")
+    FILTERS[name] = make
+
+
+def from_function(keep: Callable[[str, int, str | None], bool]) -> Column:
+    """A condition by a Python function of path, length and content; slower than a column expression."""
+
+    @F.udf("boolean", useArrow=True)
+    def call(path: str, length: int, content: str | None) -> bool:
+        return bool(keep(path, length, content))
+
+    return call("path", "length", "content")
+
+
+def parse_filter(spec: Filter) -> Column:
+    """`Name_parameter`, or the name of a filter without parameter; conditions and functions stand for themselves."""
+    if isinstance(spec, Column):
+        return spec
+    if not isinstance(spec, str):
+        return from_function(spec)
     name, mark, value = spec.partition("_")
     if name not in FILTERS:
         raise FilterError(f"no filter {name!r}")
@@ -80,6 +105,11 @@ def parse_filter(spec: str) -> Column:
         raise FilterError(f"filter {spec!r}: {e}") from None
 
 
-def accept(files: DataFrame, specs: tuple[str, ...] | list[str] = DEFAULTS) -> DataFrame:
+def condition(specs: tuple[Filter, ...] | list[Filter] = DEFAULTS) -> Column:
+    """What a file must meet to be accepted by all filters."""
+    return reduce(lambda a, b: a & b, map(parse_filter, specs), F.lit(True))
+
+
+def accept(files: DataFrame, specs: tuple[Filter, ...] | list[Filter] = DEFAULTS) -> DataFrame:
     """The files all filters accept."""
-    return files.where(reduce(lambda a, b: a & b, map(parse_filter, specs), F.lit(True)))
+    return files.where(condition(specs))

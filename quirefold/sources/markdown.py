@@ -29,6 +29,9 @@ MARKS = (
 
 @dataclass(frozen=True)
 class ParseOptions:
+    """What is read of a file, and which errors do not make it an error: dates that are none, leftover fields that cannot stand
+    in the meta."""
+
     meta: bool = True
     headings: bool = True
     links: bool = True
@@ -111,12 +114,29 @@ def read_header(text: str, options: ParseOptions) -> dict:
             out["authors"] = [_plain(x) for x in v.value] if isinstance(v, yaml.SequenceNode) else [_plain(v)]
         elif options.meta:
             end = root.value[i + 1][0].start_mark.line if i + 1 < len(root.value) else len(lines)
-            piece = lines[k.start_mark.line : max(end, k.start_mark.line + 1)]
-            rest.append("\n".join(piece).rstrip() + "\n")
+            piece = "\n".join(lines[k.start_mark.line : max(end, k.start_mark.line + 1)]).rstrip()
+            # A mapping in braces has its fields on shared lines.
+            rest.append((text[k.start_mark.index : v.end_mark.index] if root.flow_style else piece) + "\n")
+    if "*" in text:
+        rest = _standing(rest, options.ignore_meta_error)
     out["meta"] = "".join(rest) or None
     return out
 
 
+def _standing(fields: list[str], ignore: bool) -> list[str]:
+    """Fields that mean something without those before that are no leftover ones: an alias whose anchor stood there does not.
+    HeaderError for such a field, or with `ignore` it is left out."""
+    kept: list[str] = []
+    for field in fields:
+        try:
+            yaml.compose("".join(kept) + field, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
+            kept.append(field)
+        except yaml.YAMLError as e:
+            if not ignore:
+                raise HeaderError("meta: " + str(e).split("\n")[0]) from None
+    return kept
+
+
 _HEADER_ROW = "title string, tags array<string>, date timestamp_ntz, authors array<string>, meta string, error string"
 
 
@@ -167,10 +187,11 @@ def split_errors(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parsed.where("error IS NULL").drop("error"), parsed.where("error IS NOT NULL").select("path", "error")
 
 
-def index_stats(files: DataFrame, accepted: DataFrame, parsed: DataFrame) -> DataFrame:
-    """One row: n_crawled, n_accepted, n_parsed, n_errors."""
-    one = files.agg(F.count("*").alias("n_crawled"))
-    two = accepted.agg(F.count("*").alias("n_accepted"))
-    three = parsed.agg(F.count_if(F.col("error").isNull()).alias("n_parsed"), F.count_if(F.col("error").isNotNull()).alias("n_errors"))
-    k = lambda df: df.withColumn("k", F.lit(1))
-    return k(one).join(k(two), "k").join(k(three), "k").drop("k")
+def index_stats(files: DataFrame, accepted: Column, options: ParseOptions = ParseOptions()) -> DataFrame:
+    """One row: n_crawled, n_accepted, n_parsed, n_errors. The files are read once; what is not accepted is not parsed."""
+    yes = F.coalesce(accepted, F.lit(False))
+    marked = files.select("path", "filetime", F.when(yes, F.col("content")).alias("content"), F.when(yes, 1).otherwise(0).cast("bigint").alias("doc_id"))
+    n = lambda c: F.count_if((F.col("doc_id") == 1) & c)
+    return parse(marked, options).agg(
+        F.count("*").alias("n_crawled"), n(F.lit(True)).alias("n_accepted"), n(F.col("error").isNull()).alias("n_parsed"), n(F.col("error").isNotNull()).alias("n_errors")
+    )

@@ -43,6 +43,31 @@ def test_crawl(spark, root):
     assert paths(crawl.crawl(spark, root)) == sorted(f for f in FILES if f not in (".e.md", "x/.git/d.md"))
 
 
+def test_a_hidden_root_and_many_folders(spark, tmp_path):
+    for name in [".h/a.md", *[f"d{i}/_x/e{i}/n.md" for i in range(40)], "d0/.g/n.md", "d1/m.md"]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(HEAD)
+    assert paths(crawl.crawl(spark, (tmp_path / ".h").as_uri())) == [] and paths(crawl.crawl(spark, (tmp_path / ".h").as_uri(), False)) == ["a.md"]
+    kept = paths(crawl.crawl(spark, tmp_path.as_uri()))
+    assert kept == sorted([*[f"d{i}/_x/e{i}/n.md" for i in range(40)], "d1/m.md"])
+    assert len(paths(crawl.crawl(spark, tmp_path.as_uri(), False))) == 43
+    deep = crawl._folders(str(tmp_path), 3)
+    assert {f for f, below in deep if not below} == {""} and len([f for f, below in deep if below]) == 41
+
+
+def test_filters_of_ones_own(spark, root):
+    files = crawl.crawl(spark, root)
+    assert paths(filters.accept(files, ["Ext_.md", lambda path, length, content: length > 200_000])) == ["big.md", "fits.md"]
+    assert paths(filters.accept(files, [F.col("path").startswith("x/"), "Ext_.txt"])) == ["x/y/g.txt"]
+    filters.register("Starts", lambda s: F.col("path").startswith(s))
+    try:
+        assert paths(filters.accept(files, ["Starts_c"])) == ["crlf.md"]
+    finally:
+        del filters.FILTERS["Starts"]
+    with pytest.raises(filters.FilterError):
+        filters.register("a_b", filters.extension)
+
+
 @pytest.mark.parametrize(
     ("spec", "want"),
     [
@@ -87,6 +112,14 @@ def test_bad_headers(spark, header):
     assert (read(spark, f"---\n{header}\n---\n", ignore_date_error=True).error is None) == header.startswith("date")
 
 
+def test_meta_that_cannot_stand_alone(spark):
+    header = "tags: &t [a, b]\nk: v\nother: *t\nz: &y {b: 1}\nagain: *y"
+    assert read(spark, f"---\n{header}\n---\n").error.startswith("meta")
+    row = read(spark, f"---\n{header}\n---\n", ignore_meta_error=True)
+    assert row.error is None and row.tags == ["a", "b"] and row.meta == "k: v\nz: &y {b: 1}\nagain: *y\n"
+    assert read(spark, "---\n{title: x, k: v, l: [1, 2]}\n---\n").meta == "k: v\nl: [1, 2]\n"
+
+
 def test_marks(spark):
     body = "# One\n##Two words\ntext [a]( ../x.md ) and [b](y)\n[c]()\n[d]( )\n### [Linked](z/)\n#### [Other](w) more\n[e](x) foo (bar)\n####### seven\n"
     row = read(spark, HEAD + body)
@@ -102,7 +135,7 @@ def test_errors_are_counted(spark, root):
     parsed = markdown.parse(accepted)
     good, bad = markdown.split_errors(parsed)
     assert (good.count(), bad.count()) == (6, 3)
-    assert markdown.index_stats(files, accepted, parsed).first().asDict() == {"n_crawled": 11, "n_accepted": 9, "n_parsed": 6, "n_errors": 3}
+    assert markdown.index_stats(files, filters.condition(["Ext_.md"])).first().asDict() == {"n_crawled": 11, "n_accepted": 9, "n_parsed": 6, "n_errors": 3}
 
 
 def test_column_dates_equal_python(spark):
@@ -123,6 +156,8 @@ def test_scalar_functions(spark):
         F.levenshtein("w", F.lit("sitting")).alias("d"), scalar.nearest(F.col("w"), ["mitten", "bitten", "b"], 3).alias("n"),
         scalar.match(F.col("w"), "ITT").alias("m"), scalar.match(F.col("w"), "it").alias("s"), scalar.regexp(F.col("w"), "t+e").alias("r"),
     ).collect()
+    sliced = lambda a, b: [r[0] for r in df.select(scalar.contains_sliced(F.col("w"), F.lit("kitchen"), a, b)).collect()]
+    assert sliced(0, 3) == sliced(-2, 3) == [True, False, None] and sliced(1, 99) == [False, False, None] and sliced(5, 2) == sliced(9, 12) == [True, True, None]
     assert [tuple(r) for r in rows] == [(3, "mitten", True, False, True), (7, "b", False, False, False), (None, None, None, False, None)]
     one = spark.range(1).select(scalar.http_date(F.lit("2024-03-05 06:07:08").cast("timestamp_ntz")), scalar.epoch(F.lit("1969-12-31 23:59:59").cast("timestamp_ntz")), scalar.from_epoch(F.lit(86400)))
     assert tuple(one.first()) == ("Tue, 05 Mar 2024 06:07:08 GMT", -1, datetime(1970, 1, 2))

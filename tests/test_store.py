@@ -8,6 +8,7 @@ import urllib.request
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from quirefold import server
 from quirefold.api import Corpus
@@ -253,6 +254,36 @@ def test_http(corpus):
     http.shutdown()
 
 
+def test_a_server_asks_the_latest_version_and_drains(spark, tmp_path):
+    kept = DocumentStore(spark, f"file://{tmp_path}/s")
+    kept.put(frame(spark, [doc(1, "a", "A", T)]))
+    http = server.serve_http(lambda: Corpus(kept.read()), port=0)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    ask = lambda: json.loads(urllib.request.urlopen(f"http://127.0.0.1:{http.server_port}/search", data=b"p/^.", timeout=120).read())
+    assert [r["path"] for r in ask()] == ["a"]
+    kept.update_some(frame(spark, [doc(2, "b", "B", T)]))
+    assert sorted(r["path"] for r in ask()) == ["a", "b"]
+    late = threading.Thread(target=ask)
+    late.start()
+    while not http._working:
+        pass
+    http.shutdown()
+    assert http.drain(60) and not http._working
+    late.join()
+    assert http.drain(0)
+
+
+def test_forms_of_ones_own(spark):
+    df = frame(spark, [ONE])
+    assert outputs.render(df, lambda: F.upper("path")).first().text == "P/A.MD"
+    assert outputs.render(df, outputs.from_function(lambda d: f"{d['path']}|{d['authors'][1]}|{d['meta']}")).first().text == "p/a.md|B|None"
+    outputs.register("mark", lambda mark="-": F.concat(F.lit(mark), "path"))
+    try:
+        assert "".join(outputs.stream(df, "mark", mark="+")) == "+p/a.md\n"
+    finally:
+        del outputs.FORMS["mark"]
+
+
 def test_unix_socket(corpus, tmp_path):
     def ask(timeout, *messages):
         path = str(tmp_path / f"s{timeout}")
