@@ -75,6 +75,12 @@ def target_path(link: Column, own_path: Column) -> Column:
     base = F.when(plain.startswith("/"), F.array().cast("array<string>")).otherwise(
         F.slice(folder, F.lit(1), F.size(folder) - 1)
     )
+    # Most links are some steps up and then plain steps, which takes no loop.
+    inside = F.regexp_replace(plain, "^/", "")
+    lead, rest = F.regexp_extract(inside, r"^((?:\.\.?/)*)", 1), F.regexp_replace(inside, r"^(?:\.\.?/)*", "")
+    ups = ((F.length(lead) - F.length(F.replace(lead, F.lit("../"), F.lit("")))) / 3).cast("int")
+    simple = ~F.concat_ws("/", base, rest).rlike(r"(^|/)\.{0,2}(/|$)")
+    straight = F.array_join(F.concat(F.slice(base, F.lit(1), F.greatest(F.size(base) - ups, F.lit(0))), F.array(rest)), "/")
     resolved = F.aggregate(
         F.concat(base, parts),
         F.array().cast("array<string>"),
@@ -82,7 +88,7 @@ def target_path(link: Column, own_path: Column) -> Column:
         .when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
         .otherwise(F.concat(acc, F.array(x))),
     )
-    return F.when(names, F.array_join(resolved, "/"))
+    return F.when(names, F.when(simple, straight).otherwise(F.array_join(resolved, "/")))
 
 
 def orphans(links: DataFrame, notes: DataFrame, scans: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 from posixpath import normpath
 from urllib.parse import unquote
@@ -43,6 +44,9 @@ def test_empty_tables(spark):
 
 def test_target_path_against_posix_rules(spark):
     links = ["x.md", "../x.md", "./a/./b//c", "/r/s/../t", "%C3%A9%20x", "a%2Fb", "..", "q?x#y", "%FFz", "a/.."]
+    rng = random.Random(12)
+    links += ["/".join(rng.choices(["..", ".", "", "a", "b c", "...", "x.md", ".h", "..y"], k=rng.randrange(1, 7))) or "x" for _ in range(400)]
+    links = [x for x in links if x.strip() and not x.startswith("//")]
     df = spark.createDataFrame([(x,) for x in links], "link string")
     own = "f/g/n.md"
     for r in df.select("link", orphans.target_path(F.col("link"), F.lit(own)).alias("t")).collect():
