@@ -62,8 +62,7 @@ class DocumentStore:
     def _notes(self, what: str) -> dict:
         return {"last_update": what, "updated": datetime.now(timezone.utc).isoformat(timespec="seconds")}
 
-    def _check(self, docs: DataFrame) -> DataFrame:
-        docs = check_documents(docs).select(*COLUMNS)
+    def _unique(self, docs: DataFrame) -> DataFrame:
         if not docs.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
             raise DuplicatePathError("a path stands twice")
         return docs
@@ -78,15 +77,20 @@ class DocumentStore:
         raise ValueError("no tries")
 
     def put(self, docs: DataFrame, what: str = "put") -> Manifest:
-        """Add documents; DuplicatePathError if a path is stored already."""
-        docs = self._check(docs)
+        """Add documents; DuplicatePathError if a path is stored already. They are written once and looked through as written."""
+        files = self.table.write_files(check_documents(docs).select(*COLUMNS).sortWithinPartitions("date"))
+        try:
+            written = self._unique(self.table.scan(files))
 
-        def work(base: Manifest) -> Manifest:
-            if not docs.join(self.table.read(base).select("path"), "path", "left_semi").isEmpty():
-                raise DuplicatePathError("a path is stored already")
-            return self.table.append(docs.sortWithinPartitions("date"), self._notes(what), base)
+            def work(base: Manifest) -> Manifest:
+                if not written.join(self.table.read(base).select("path"), "path", "left_semi").isEmpty():
+                    raise DuplicatePathError("a path is stored already")
+                return self.table.commit(base, files, notes=self._notes(what))
 
-        return self._change(work)
+            return self._change(work)
+        except Exception:
+            self.table.discard(files)
+            raise
 
     def update(self, staged: DataFrame, what: str = "update") -> Manifest:
         """Make the store equal what is staged (see merge)."""
@@ -99,7 +103,7 @@ class DocumentStore:
     def _upsert(self, staged: DataFrame, notes: dict, whole: bool) -> Manifest:
         """Writes the staged rows that are new or change a stored one, and hides what they replace (with `whole`, also what is
         not staged): as many rows as change, however many are stored. A batch already noted is left out."""
-        staged = materialize(self._check(staged), "staged")
+        staged = self._unique(materialize(check_documents(staged).select(*COLUMNS), "staged"))
 
         def work(base: Manifest) -> Manifest:
             if "batch" in notes and base.notes.get("batch", -1) >= notes["batch"]:

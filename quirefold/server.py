@@ -7,11 +7,13 @@ import re
 import socketserver
 import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from datetime import timezone
 from email.utils import format_datetime, parsedate_to_datetime
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from itertools import chain
+from tempfile import SpooledTemporaryFile
+from typing import BinaryIO
 from urllib.parse import parse_qs, urlsplit
 
 from quirefold.api import Corpus
@@ -58,6 +60,15 @@ def run_for(corpus: Corpus, seconds: float | None, work):
         context.removeJobTag(tag)
 
 
+def spool(pieces: Iterable[str]) -> tuple[int, BinaryIO]:
+    """How many pieces there are, and all of them: their number has to be sent first. What is over a megabyte is on disk."""
+    body, n = SpooledTemporaryFile(1 << 20), 0
+    for n, piece in enumerate(pieces, 1):
+        body.write(piece.encode())
+    body.seek(0)
+    return n, body
+
+
 def http_handler(source: Source) -> type[BaseHTTPRequestHandler]:
     class Handler(BaseHTTPRequestHandler):
         protocol_version = "HTTP/1.1"
@@ -189,12 +200,13 @@ def socket_handler(source: Source, timeout: float | None = TIMEOUT_S) -> type[so
             except QueryError:
                 return self._error("query compilation error")
             try:
-                rows = run_for(corpus, timeout, lambda: list(outputs.stream(found.docs)))
+                n, body = run_for(corpus, timeout, lambda: spool(outputs.stream(found.docs)))
             except Exception:
                 return self._error("query execution error")
-            self.request.sendall(START_HEADER + f"Num Docs: {len(rows)}".encode() + START_BODY)
-            for r in rows:
-                self.request.sendall(r.encode())
+            with body:
+                self.request.sendall(START_HEADER + f"Num Docs: {n}".encode() + START_BODY)
+                while part := body.read(1 << 16):
+                    self.request.sendall(part)
             self.request.sendall(END_BODY + END_MESSAGE)
             return True
 

@@ -65,6 +65,7 @@ def test_store_puts_updates_and_tidies(spark, tmp_path):
         s.put(frame(spark, [doc(9, "a", "Z", T)]))
     with pytest.raises(DuplicatePathError):
         s.put(frame(spark, [doc(9, "z", "Z", T), doc(10, "z", "Z", T)]))
+    assert len(list((tmp_path / "s").glob("data-*"))) == 1  # what was refused is gone
     s.update(frame(spark, [doc(7, "a", "A2", T + timedelta(1), []), doc(8, "c", "C", None)]))
     assert sorted((r.doc_id, r.path, r.title, r.tags) for r in s.read().collect()) == [(1, "a", "A2", []), (8, "c", "C", None)]
     assert sorted(r.path for r in s.read(0).collect()) == ["a", "b"]
