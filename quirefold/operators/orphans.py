@@ -58,37 +58,39 @@ def month_of(ts: Column) -> Column:
     return F.coalesce(F.date_format(ts, "yyyy-MM"), F.lit("unknown"))
 
 
-def target_path(link: Column, own_path: Column) -> Column:
-    """The path a link names, seen from the note at `own_path`; null if it names none.
+def with_target(df: DataFrame, link: str = "link", own_path: str = "own_path") -> DataFrame:
+    """Adds target: the path a link names, seen from the note at `own_path`; null if it names none.
 
     Outer blanks and tabs do not count; null, blank, `#...`, `//...` and links with a scheme name no path. Cut from the
     first `#` or `?`, percent escapes decoded as UTF-8 (a `%` without two hex digits stands for itself, bytes that are no
     UTF-8 become U+FFFD), `.`, `..` and empty steps resolved; `..` at the top stays at the top.
+
+    Each step is a projection of its own, so that nothing is worked out twice. Links of some steps up and then plain steps, which
+    most are, take no loop.
     """
-    bare = F.regexp_replace(link, r"^[ \t]+|[ \t]+$", "")
+    bare, cut, plain, base, lead, rest = (F.col(f"__{c}") for c in ("bare", "cut", "plain", "base", "lead", "rest"))
     names = (bare != "") & ~bare.rlike(r"^(#|//|[A-Za-z][A-Za-z0-9+.\-]*:)")
-    cut = F.regexp_replace(bare, r"(?s)[#?].*$", "")
     escaped = F.regexp_replace(F.regexp_replace(cut, r"%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")
-    plain = F.when(cut.contains("%"), F.url_decode(escaped)).otherwise(cut)
-    parts = F.split(plain, "/")
-    folder = F.split(own_path, "/")
-    base = F.when(plain.startswith("/"), F.array().cast("array<string>")).otherwise(
-        F.slice(folder, F.lit(1), F.size(folder) - 1)
-    )
-    # Most links are some steps up and then plain steps, which takes no loop.
-    inside = F.regexp_replace(plain, "^/", "")
-    lead, rest = F.regexp_extract(inside, r"^((?:\.\.?/)*)", 1), F.regexp_replace(inside, r"^(?:\.\.?/)*", "")
+    folder = F.split(F.col(own_path), "/")
+    none = F.array().cast("array<string>")
     ups = ((F.length(lead) - F.length(F.replace(lead, F.lit("../"), F.lit("")))) / 3).cast("int")
-    simple = ~F.concat_ws("/", base, rest).rlike(r"(^|/)\.{0,2}(/|$)")
-    straight = F.array_join(F.concat(F.slice(base, F.lit(1), F.greatest(F.size(base) - ups, F.lit(0))), F.array(rest)), "/")
+    straight = F.concat(F.slice(base, F.lit(1), F.greatest(F.size(base) - ups, F.lit(0))), F.array(rest))
     resolved = F.aggregate(
-        F.concat(base, parts),
-        F.array().cast("array<string>"),
+        F.concat(base, F.split(plain, "/")),
+        none,
         lambda acc, x: F.when(x.isin("", "."), acc)
         .when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
         .otherwise(F.concat(acc, F.array(x))),
     )
-    return F.when(names, F.when(simple, straight).otherwise(F.array_join(resolved, "/")))
+    out = df.withColumn("__bare", F.regexp_replace(link, r"^[ \t]+|[ \t]+$", ""))
+    out = out.withColumn("__cut", F.when(names, F.regexp_replace(bare, r"(?s)[#?].*$", "")))
+    out = out.withColumn("__plain", F.when(cut.contains("%"), F.url_decode(escaped)).otherwise(cut))
+    out = out.withColumn("__base", F.when(plain.isNotNull(), F.when(plain.startswith("/"), none).otherwise(F.slice(folder, F.lit(1), F.size(folder) - 1))))
+    out = out.withColumn("__lead", F.regexp_extract(plain, r"^/?((?:\.\.?/)*)", 1))
+    out = out.withColumn("__rest", F.substring(plain, F.length("__lead") + F.when(plain.startswith("/"), 2).otherwise(1), F.length(plain)))
+    out = out.withColumn("__simple", ~F.concat_ws("/", base, rest).rlike(r"(^|/)\.{0,2}(/|$)"))
+    target = F.when(base.isNotNull(), F.array_join(F.when(F.col("__simple"), straight).otherwise(resolved), "/"))
+    return out.withColumn("target", target).select(*df.columns, "target")
 
 
 def orphans(links: DataFrame, notes: DataFrame, scans: DataFrame) -> DataFrame:
@@ -110,7 +112,7 @@ def orphans(links: DataFrame, notes: DataFrame, scans: DataFrame) -> DataFrame:
         "doc_id", "link", F.lit("doc").alias("lacking"), F.lit("missing").alias("fate"), "noted_month"
     )
     # The side of the target: paths become integers, then the same. Each path and month goes in once.
-    placed = skew_join(refs, own, ["doc_id"]).withColumn("target", target_path(F.col("link"), F.col("own_path")))
+    placed = with_target(skew_join(refs, own, ["doc_id"]))
     placed = materialize(placed.where("target IS NOT NULL").drop("own_path"), "targets")
     used = materialize(placed.select("target", "noted_month").distinct(), "used")
     ids = dictionary(used, "target", "target_id")

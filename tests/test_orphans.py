@@ -49,7 +49,7 @@ def test_target_path_against_posix_rules(spark):
     links = [x for x in links if x.strip() and not x.startswith("//")]
     df = spark.createDataFrame([(x,) for x in links], "link string")
     own = "f/g/n.md"
-    for r in df.select("link", orphans.target_path(F.col("link"), F.lit(own)).alias("t")).collect():
+    for r in orphans.with_target(df.select("link", F.lit(own).alias("own_path"))).withColumnRenamed("target", "t").collect():
         p = unquote(r.link.split("#")[0].split("?")[0])
         want = normpath(p if p.startswith("/") else f"/f/g/{p}").lstrip("/")
         assert r.t == want, r.link
