@@ -58,6 +58,12 @@ def month_of(ts: Column) -> Column:
     return F.coalesce(F.date_format(ts, "yyyy-MM"), F.lit("unknown"))
 
 
+def names_path(link: Column) -> Column:
+    """Whether a link names a path: not null, not blank, not `#...`, `//...` and without a scheme."""
+    bare = F.regexp_replace(link, r"^[ \t]+|[ \t]+$", "")
+    return (bare != "") & ~bare.rlike(r"^(#|//|[A-Za-z][A-Za-z0-9+.\-]*:)")
+
+
 def with_target(df: DataFrame, link: str = "link", own_path: str = "own_path") -> DataFrame:
     """Adds target: the path a link names, seen from the note at `own_path`; null if it names none.
 
@@ -69,7 +75,6 @@ def with_target(df: DataFrame, link: str = "link", own_path: str = "own_path") -
     most are, take no loop.
     """
     bare, cut, plain, base, lead, rest = (F.col(f"__{c}") for c in ("bare", "cut", "plain", "base", "lead", "rest"))
-    names = (bare != "") & ~bare.rlike(r"^(#|//|[A-Za-z][A-Za-z0-9+.\-]*:)")
     escaped = F.regexp_replace(F.regexp_replace(cut, r"%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")
     folder = F.split(F.col(own_path), "/")
     none = F.array().cast("array<string>")
@@ -83,7 +88,7 @@ def with_target(df: DataFrame, link: str = "link", own_path: str = "own_path") -
         .otherwise(F.concat(acc, F.array(x))),
     )
     out = df.withColumn("__bare", F.regexp_replace(link, r"^[ \t]+|[ \t]+$", ""))
-    out = out.withColumn("__cut", F.when(names, F.regexp_replace(bare, r"(?s)[#?].*$", "")))
+    out = out.withColumn("__cut", F.when(names_path(bare), F.regexp_replace(bare, r"(?s)[#?].*$", "")))
     out = out.withColumn("__plain", F.when(cut.contains("%"), F.url_decode(escaped)).otherwise(cut))
     out = out.withColumn("__base", F.when(plain.isNotNull(), F.when(plain.startswith("/"), none).otherwise(F.slice(folder, F.lit(1), F.size(folder) - 1))))
     out = out.withColumn("__lead", F.regexp_extract(plain, r"^/?((?:\.\.?/)*)", 1))
@@ -112,8 +117,9 @@ def orphans(links: DataFrame, notes: DataFrame, scans: DataFrame) -> DataFrame:
         "doc_id", "link", F.lit("doc").alias("lacking"), F.lit("missing").alias("fate"), "noted_month"
     )
     # The side of the target: paths become integers, then the same. Each path and month goes in once.
-    placed = with_target(skew_join(refs, own, ["doc_id"]))
-    placed = materialize(placed.where("target IS NOT NULL").drop("own_path"), "targets")
+    # What names no path leaves before the join; a condition on the target itself would have it worked out twice.
+    placed = with_target(skew_join(refs.where(names_path(F.col("link"))), own.where("own_path IS NOT NULL"), ["doc_id"]))
+    placed = materialize(placed.drop("own_path"), "targets")
     used = materialize(placed.select("target", "noted_month").distinct(), "used")
     ids = dictionary(used, "target", "target_id")
     known = ids.join(notes.select(F.col("path").alias("target")).where("target IS NOT NULL"), "target", "left_semi")
